@@ -6,6 +6,10 @@ few MB. Each block sends its *distinct* keys, sorted and cut by key range, as on
 each range ("bucket"); whatever a key's frequency, a block sends it once. The bucket's owner merges
 the blocks' runs and answers each block with flags or counts in the block's own key order. A block
 then recomputes its keys and applies the answers. No task ever holds all rows of a key.
+
+There is a message for each block and bucket, so their number grows with the product: blocks are
+small (they hold texts), buckets are larger (they hold keys). Beyond some TB, raise both sizes with
+the executors' memory (``n_blocks``).
 """
 
 from __future__ import annotations

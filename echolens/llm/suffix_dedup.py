@@ -204,7 +204,7 @@ def _merge(kind: int, data: list[tuple]) -> list[bytes]:
         low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
         high = np.zeros(n, np.uint64)
         np.minimum.at(low, group, np.concatenate([join48(d[2], d[3]) for d in data]))
-        np.maximum.at(high, group, np.concatenate([join48(d[4], d[5]) for d in data]))
+        np.maximum.at(high, group, np.concatenate([join48(d[2], d[3]) ^ join48(d[4], d[5]) for d in data]))
         yes = (low != high)[group]
     else:
         ids = np.concatenate([d[2] for d in data]).astype(np.int64)
@@ -221,20 +221,20 @@ def _ids(x: np.ndarray) -> np.ndarray:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50) -> DataFrame:
     """(__rid, id_col, n_bytes, spans array<struct<start,end>>, kept binary): what of each text also
     starts, span bytes at a time, in a document with a smaller id."""
-    count = n_blocks(docs)
-    blocks = to_blocks(docs, id_col, text_col, count)
+    buckets = n_blocks(docs, 16)
+    blocks = to_blocks(docs, id_col, text_col, n_blocks(docs, 2))
 
     def parse(pdf: pd.DataFrame):
         b = Block(pdf, span)
         keys, _, low = b.least(b.key, b.doc, b.ids)
-        yield from _send(1, keys, count, _ids(low))
+        yield from _send(1, keys, buckets, _ids(low))
         order = np.lexsort((b.key, b.trigger))
         trig, key = b.trigger[order], b.key[order]
         first = np.ones(len(trig), bool)
         first[1:] = trig[1:] != trig[:-1]
         at = np.flatnonzero(first)
         last = np.append(at[1:], len(trig)) - 1 if len(at) else at
-        yield from _send(2, trig[at], count, *split48(key[at]), *split48(key[last]))
+        yield from _send(2, trig[at], buckets, *split48(key[at]), *split48(key[at] ^ key[last]))  # mostly equal: zeros cost nothing
 
     def open_phrases(b: Block, got: pd.DataFrame):
         """Which occurrences are above their phrase's smallest document; which distinct phrases are undecided, by an occurrence."""
@@ -252,7 +252,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _, _, ask = open_phrases(b, got)
         phrase, _, window = b.windows(ask)
         keys, _, low = b.least(window, b.doc[phrase], b.ids)
-        rows = [(k, c, int(pdf["block"].iloc[0]), d) for k, c, d in _send(3, keys, count, _ids(low))] if len(pdf) else []
+        rows = [(k, c, int(pdf["block"].iloc[0]), d) for k, c, d in _send(3, keys, buckets, _ids(low))] if len(pdf) else []
         return pd.DataFrame(rows, columns=["kind", "bucket", "block", "data"])
 
     def owner(pdf: pd.DataFrame) -> pd.DataFrame:
