@@ -133,7 +133,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(__rid, id_col, n_shingles, component_id, component_rid): near-duplicate classes at Jaccard >=
     num/den. component_rid names the component by a row number, whatever the ids."""
     blocks = to_blocks(docs, id_col, text_col, n_blocks(docs, 2))
-    every = materialise(shared_sets(blocks, n_blocks(docs, 16), shingle, num, den), "sets")
+    every = materialise(shared_sets(blocks, n_blocks(docs, 4), shingle, num, den), "sets")
     classes = every.where("toks is not null").groupBy("sig").agg(F.min(RID).alias("node"), F.min("id").alias("low"))
     classes = materialise(classes, "classes")
 

@@ -221,7 +221,7 @@ def _ids(x: np.ndarray) -> np.ndarray:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50) -> DataFrame:
     """(__rid, id_col, n_bytes, spans array<struct<start,end>>, kept binary): what of each text also
     starts, span bytes at a time, in a document with a smaller id."""
-    buckets = n_blocks(docs, 16)
+    buckets = n_blocks(docs, 3)
     blocks = to_blocks(docs, id_col, text_col, n_blocks(docs, 2))
 
     def parse(pdf: pd.DataFrame):
