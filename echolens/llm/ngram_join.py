@@ -8,8 +8,9 @@
    keep their shared shingles, in the global order.
 3. Documents with the same set become one class; classes with the same prefix and size become one
    group. Groups are joined on prefix shingles under the size and position bounds.
-4. Of a shingle's groups (by size class) each is first compared with one leader: large clusters
-   connect after a linear number of comparisons. The components found are contracted; a second
+4. Of a shingle's groups (by size class) one is the leader; each group is first compared with a few
+   of its shingles' leaders, so that large clusters connect after a linear number of comparisons.
+   The components found are contracted and this is done again with other leaders (``rounds``); a last
    round compares exactly those member pairs of a shingle that are still in different components.
    Every pair of documents that could link is thus verified or already connected; nothing is capped.
 5. Verification intersects the shared shingles of both documents.
@@ -129,7 +130,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m").mapInPandas(check, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, leaders: int = 3, rounds: int = 3) -> DataFrame:
     """(__rid, id_col, n_shingles, component_id, component_rid): near-duplicate classes at Jaccard >=
     num/den. component_rid names the component by a row number, whatever the ids."""
     blocks = to_blocks(docs, id_col, text_col, n_blocks(docs, 2))
@@ -164,24 +165,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         most = F.least(n1 - p1, n2 - p2)
         return (small * den >= big * num) & (most * (num + den) >= (n1 + n2) * num)
 
-    rows = spread(heads)
-    lead = rows.groupBy("tok", "cls").agg(F.min(F.struct(F.hash("node").alias("h"), "node", "n", "pos")).alias("l"), F.count("*").alias("m")).where("m > 1").select("tok", "cls", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.pos").alias("q"))
-    star = rows.join(lead, ["tok", "cls"]).where("node <> b").where(bound(F.col("n"), F.col("pos"), F.col("m"), F.col("q")))
-    star = star.select(F.col("node").alias("a"), "b").union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    star = materialise(star, "star")
-    links = materialise(_verified(star, sets, num, den), "links")
+    def starred(rows: DataFrame, seed: int) -> DataFrame:
+        """Of each shingle and size class one leader; (a, b) of each node with the first few of its
+        shingles' leaders that are in another component and within the bounds."""
+        lead = rows.groupBy("tok", "cls").agg(F.min(F.struct(F.hash("node", F.lit(seed)).alias("h"), "node", "n", "pos", "comp")).alias("l"))
+        lead = lead.select("tok", "cls", "l.h", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.pos").alias("q"), F.col("l.comp").alias("comp2"))
+        met = rows.join(lead, ["tok", "cls"]).where("comp <> comp2").where(bound(F.col("n"), F.col("pos"), F.col("m"), F.col("q")))
+        near = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_set(F.struct("h", "b"))), 1, leaders).alias("l"))
+        return near.select(F.col("node").alias("a"), F.explode("l").alias("l")).select("a", F.col("l.b").alias("b"))
+
+    def opened(found: DataFrame) -> DataFrame:
+        """Prefix shingles that stand in several components, with each node's."""
+        tagged = spread(front).join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        several = tagged.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tok")
+        return materialise(tagged.join(several, "tok"), "open")
+
+    ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    compared = materialise(ordered(starred(spread(heads).withColumn("comp", F.col("node")), 0).union(within)), "star")
+    links = materialise(_verified(compared, sets, num, den), "links")
     found = components(links)
+    for seed in range(1, rounds):
+        more = materialise(ordered(starred(opened(found), seed)).join(compared, ["a", "b"], "left_anti"), "star")
+        compared = compared.union(more)
+        links = materialise(links.union(_verified(more, sets, num, den)), "links")
+        found = components(links)
 
     # what is left: pairs with a common prefix shingle in different components. A shingle's largest
     # component is never paired with itself.
-    tagged = spread(front).join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    tagged = materialise(tagged.drop("cls"), "tagged")
+    tagged = opened(found)
     sizes = tagged.groupBy("tok", "comp").agg(F.count("*").alias("k"))
-    major = sizes.groupBy("tok").agg(F.max_by("comp", "k").alias("major"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-    opened = tagged.join(major, "tok")
-    minor = opened.where("comp <> major").select("tok", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("comp").alias("comp2"))
-    both = opened.join(minor, "tok").where("comp <> comp2").where(bound(F.col("n"), F.col("pos"), F.col("m"), F.col("q")))
-    rest = both.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    major = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
+    every_node = tagged.join(major, "tok")
+    minor = every_node.where("comp <> major").select("tok", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("comp").alias("comp2"))
+    both = every_node.join(minor, "tok").where("comp <> comp2").where(bound(F.col("n"), F.col("pos"), F.col("m"), F.col("q")))
+    rest = both.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
     more = _verified(rest, sets, num, den)
     found = components(links.union(more))
 
