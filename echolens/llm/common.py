@@ -98,6 +98,17 @@ def restore_id(name: str = "id") -> Column:
     return F.when(F.col(name) != NULL_ID, F.col(name))
 
 
+def in_sample(col: str, rows: int, total: int) -> Column:
+    """True for about ``rows`` of ``total`` rows, chosen by the value's hash: every executor decides
+    alone, and nothing is sorted or gathered."""
+    return F.pmod(F.xxhash64(F.col(col)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(1, total)))
+
+
+def hash_sample(df: DataFrame, col: str, rows: int, total: int) -> list:
+    """About ``rows`` values of a column, at most twice as many, in order."""
+    return sorted(r[0] for r in df.where(in_sample(col, rows, total)).select(col).limit(2 * rows).collect())
+
+
 # ---- arrays in binary columns ------------------------------------------------------------------
 def dump(*arrays) -> bytes:
     return pickle.dumps(arrays, protocol=5)

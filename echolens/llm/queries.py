@@ -75,7 +75,7 @@ def op6_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_corpus(table(spark, sf_dir, "documents"), WORD_BPE).drop(RID)
+    return lm_score.score_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop(RID)
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Lexicon:

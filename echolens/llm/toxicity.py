@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, col_of, with_rid
+from .common import RID, col_of, in_sample, with_rid
 
 #: Look-alike letters and signs, and the Latin letters they stand for.
 LOOKALIKES = {
@@ -201,7 +201,10 @@ def fit(labelled: DataFrame, text_col: str = "t", label_col: str = "y", max_entr
                 out.append((*features(words, model.found(words)), y))
             yield pd.DataFrame(out, columns=["a", "b", "c", "y"])
 
-    sample = rows.orderBy(F.xxhash64("t"), "t").limit(fit_rows).mapInPandas(measure, "a double, b double, c double, y int").toPandas()
+    sample = rows.where(in_sample("t", fit_rows, pos + neg)).mapInPandas(measure, "a double, b double, c double, y int").limit(2 * fit_rows).toPandas()
+    if sample.empty or sample["y"].nunique() < 2:
+        return model
+    sample = sample.sort_values(["a", "b", "c", "y"])
     model.beta = _logistic(sample[["a", "b", "c"]].to_numpy(), sample["y"].to_numpy().astype(float))
     return model
 
