@@ -67,8 +67,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def n_blocks(df: DataFrame, mb: float = 4.0) -> int:
-    """Blocks of about ``mb`` MB of stored input, and no fewer than the shuffle partitions."""
-    return max(shuffle_partitions(df.sparkSession), min(1 << 20, math.ceil(input_bytes(df) / (mb * 1e6))))
+    """Blocks of about ``mb`` MB of stored input, and no fewer than the shuffle partitions. Where
+    Catalyst knows no size (rows from the driver or an RDD), as many as the input has partitions."""
+    size = input_bytes(df)
+    least = shuffle_partitions(df.sparkSession)
+    return max(least, math.ceil(size / (mb * 1e6)) if size < 1 << 57 else df.rdd.getNumPartitions())
 
 
 def col_of(df: DataFrame, name: str) -> Column:
@@ -76,7 +79,8 @@ def col_of(df: DataFrame, name: str) -> Column:
 
 
 def with_rid(df: DataFrame) -> DataFrame:
-    """A row number that is the same each time the same files are scanned."""
+    """A row number that is the same each time the same files are scanned. Operators that scan their
+    input more than once rely on it, so the input must be a stored table, not a computed frame."""
     return df.withColumn(RID, F.monotonically_increasing_id())
 
 
@@ -204,7 +208,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    for _ in range(rounds if not e.isEmpty() else 0):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

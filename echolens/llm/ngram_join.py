@@ -186,6 +186,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = components(links)
     for seed in range(1, rounds):
         more = materialise(ordered(starred(opened(found), seed)).join(compared, ["a", "b"], "left_anti"), "star")
+        if more.isEmpty():
+            continue
         compared = compared.union(more)
         links = materialise(links.union(_verified(more, sets, num, den)), "links")
         found = components(links)
@@ -199,8 +201,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     minor = every_node.where("comp <> major").select("tok", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("comp").alias("comp2"))
     both = every_node.join(minor, "tok").where("comp <> comp2").where(bound(F.col("n"), F.col("pos"), F.col("m"), F.col("q")))
     rest = both.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-    more = _verified(rest, sets, num, den)
-    found = components(links.union(more))
+    more = materialise(_verified(rest, sets, num, den), "links")
+    if not more.isEmpty():
+        found = components(links.union(more))
 
     reach = classes.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     low = reach.groupBy("comp").agg(F.min("low").alias("least"))
