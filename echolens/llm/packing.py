@@ -16,9 +16,12 @@ are; an empty table gives no pieces; other columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +30,6 @@ from .common import RID, col_of, materialise, shuffle_partitions, with_rid
 DIMS, BITS, BUCKETS = 3, 16, 1024
 _state: dict = {}
 _CTRL = re.compile("[\x1c-\x1f]|<\\|")
-_PUNCT = ".,!?;:"
 
 
 def _tokenizer(path: str):
@@ -40,42 +42,46 @@ def _tokenizer(path: str):
         size = tok.get_vocab_size()
         ids = np.arange(size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         sign = np.where((ids >> np.uint64(63)).astype(bool), 1.0, -1.0)
-        _state.update(path=path, tok=tok, words={}, cores={}, proj=proj, bucket=((ids >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64), sign=sign)
+        _state.update(path=path, tok=tok, words={}, proj=proj, bucket=((ids >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64), sign=sign)
     return _state["tok"]
 
 
-def _encode_new(tok, words: set[str], limit: int) -> None:
-    """Fill the word cache. The tokenizer drops white space and never joins across it, and splits
-    letters from punctuation, so a text's ids are its words' ids laid end to end, and an ASCII
-    word's are those of its letters and of the marks behind them."""
-    known, cores = _state["words"], _state["cores"]
-    if len(known) > limit:
-        known.clear()
-    if len(cores) > limit:
-        cores.clear()
-    parts = {}
-    for w in words:
-        c = w.rstrip(_PUNCT)
-        parts[w] = (c.lower(), w[len(c) :]) if c.isascii() and c.isalpha() else (w, "")
-    new = list({p for two in parts.values() for p in two if p and p not in cores})
-    for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        cores[p] = np.array(e.ids, dtype="<u4").tobytes()
-    for w, (c, p) in parts.items():
-        known[w] = cores[c] + cores[p] if p else cores[c]
-
-
 def encode(texts: list[str], path: str, limit: int = 700_000) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit, through a bounded cache of words."""
+    """Each text's ids as little-endian unsigned 32-bit, through a bounded cache of words. The
+    tokenizer drops white space and never joins across it, so a text's ids are its words' ids laid
+    end to end; the few texts with control characters or special tokens go through it whole."""
     tok = _tokenizer(path)
-    split = [None if _CTRL.search(t) else t.split() for t in texts]
     known = _state["words"]
-    new = {w for s in split if s for w in s if w not in known}
-    if new:
-        _encode_new(tok, new, limit)
-        if missing := {w for s in split if s for w in s if w not in known}:  # the cache was emptied
-            _encode_new(tok, missing, 1 << 60)
-    get = known.__getitem__
-    return [b"".join(map(get, s)) if s is not None else np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t, s in zip(texts, split, strict=True)]
+    if len(known) > limit:
+        known.clear()
+    odd = {k: np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for k, t in enumerate(texts) if _CTRL.search(t)}
+    split = pc.utf8_split_whitespace(pa.array(["" if k in odd else t for k, t in enumerate(texts)], pa.large_string()))
+    coded = split.flatten().dictionary_encode()
+    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    new = [w for w in words if w not in known]
+    for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        known[w] = array("I", e.ids).tobytes()
+    parts = [known[w] for w in words]
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    flat = np.frombuffer(b"".join(parts), "<u4")
+    length = size[codes]
+    upto = np.concatenate([[0], np.cumsum(length)])
+    ids = flat[np.repeat((np.cumsum(size) - size)[codes] - upto[:-1], length) + np.arange(upto[-1])]
+    cut = upto[split.offsets.to_numpy()]
+    return [odd[k] if k in odd else ids[a:b].tobytes() for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+
+
+def portions(texts: pd.Series, rows: int = 1000, chars: int = 4_000_000):
+    """Cuts of consecutive texts: at most ``rows`` and about ``chars`` characters each."""
+    size = texts.str.len().to_numpy()
+    lo, n = 0, 0
+    for k, c in enumerate(size):
+        if k > lo and (k - lo == rows or n + c > chars):
+            yield lo, k
+            lo, n = k, 0
+        n += c
+    if lo < len(size):
+        yield lo, len(size)
 
 
 def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -125,8 +131,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def tokens(batches):
         for pdf in batches:
             _tokenizer(tokenizer_path)
-            for lo in range(0, len(pdf), 1000):
-                part = pdf.iloc[lo : lo + 1000]
+            for lo, hi in portions(pdf["t"]):
+                part = pdf.iloc[lo:hi]
                 ids = encode(part["t"].tolist(), tokenizer_path)
                 keys = curve_keys([np.frombuffer(x, "<u4") for x in ids])
                 full = [x + end for x in ids]
