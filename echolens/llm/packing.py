@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,9 @@ from .common import RID, col_of, materialise, shuffle_partitions, with_rid
 DIMS, BITS, BUCKETS = 3, 16, 1024
 _state: dict = {}
 _CTRL = re.compile("[\x1c-\x1f]|<\\|")
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"  # no apostrophe: the pre-tokenizer knows endings such as 's
+_WHOLE = re.compile(f"[{_LETTERS}]+")
+_PLAIN, _PIECE = re.compile(f"[{_LETTERS}0-9{_MARKS}]+"), re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
 
 
 def _tokenizer(path: str):
@@ -42,25 +46,59 @@ def _tokenizer(path: str):
         size = tok.get_vocab_size()
         ids = np.arange(size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         sign = np.where((ids >> np.uint64(63)).astype(bool), 1.0, -1.0)
-        _state.update(path=path, tok=tok, words={}, proj=proj, bucket=((ids >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64), sign=sign)
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level BPE
+        shown = dict(zip([*kept, *sorted(set(range(256)) - set(kept))], map(chr, [*kept, *range(256, 512 - len(kept))]), strict=True))
+        _state.update(path=path, tok=tok, words={}, pieces={}, model=tok.model, shown=shown, proj=proj, bucket=((ids >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64), sign=sign)
     return _state["tok"]
 
 
-def encode(texts: list[str], path: str, limit: int = 700_000) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit, through a bounded cache of words. The
-    tokenizer drops white space and never joins across it, so a text's ids are its words' ids laid
+def _piece_ids(piece: str) -> bytes:
+    """Ids of a piece that the pre-tokenizer leaves whole, from the tokenizer's model alone: a piece is
+    normal already, and its bytes stand as the pre-tokenizer would write them."""
+    piece = piece if piece.isascii() else "".join(map(_state["shown"].__getitem__, piece.encode()))
+    return array("I", [t.id for t in _state["model"].tokenize(piece)]).tobytes()
+
+
+def _learn(words: list[str], limit: int) -> dict[str, bytes]:
+    """Ids of distinct words. Words of Latin letters, digits and marks fall into the pieces that the
+    pre-tokenizer would cut (lower-cased, as its normaliser would), so each piece is encoded once
+    whatever its case and the marks around it; other words go through the tokenizer whole."""
+    tok, pieces = _state["tok"], _state["pieces"]
+    if len(pieces) > limit:
+        pieces.clear()
+    out, cut = {}, {}
+    for w in words:
+        if _PLAIN.fullmatch(w):
+            low = w.lower()
+            if _WHOLE.fullmatch(low):
+                out[w] = low
+            else:
+                cut[w] = tuple(_PIECE.findall(low))
+    for p in {*out.values(), *chain.from_iterable(cut.values())}:
+        if p not in pieces:
+            pieces[p] = _piece_ids(p)
+    out = {w: pieces[p] for w, p in out.items()}
+    for w, c in cut.items():
+        out[w] = b"".join([pieces[p] for p in c])
+    other = [w for w in words if w not in out]
+    for w, e in zip(other, tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
+        out[w] = array("I", e.ids).tobytes()
+    return out
+
+
+def encode(texts: list[str], path: str, limit: int = 400_000) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit, through bounded caches of words and pieces.
+    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids laid
     end to end; the few texts with control characters or special tokens go through it whole."""
     tok = _tokenizer(path)
     known = _state["words"]
     if len(known) > limit:
         known.clear()
     odd = {k: np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for k, t in enumerate(texts) if _CTRL.search(t)}
-    split = pc.utf8_split_whitespace(pa.array(["" if k in odd else t for k, t in enumerate(texts)], pa.large_string()))
+    split = pc.ascii_split_whitespace(pa.array(["" if k in odd else t for k, t in enumerate(texts)], pa.large_string()))
     coded = split.flatten().dictionary_encode()
-    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    new = [w for w in words if w not in known]
-    for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[w] = array("I", e.ids).tobytes()
+    words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    known.update(_learn([w for w in words if w not in known], limit))
     parts = [known[w] for w in words]
     size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
     flat = np.frombuffer(b"".join(parts), "<u4")

@@ -286,3 +286,11 @@ def test_pipeline_stages(spark):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.5 * sizes[0] and sizes[3] == sizes[4]
     kept = {r.doc_id for r in docs.collect()}
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()} == kept
+
+
+def test_words_ids_are_the_tokenizers():
+    path = queries.WORD_BPE
+    texts = ["Don't, he's I'LL A1b2 -- x,y;z'' ''s rock' 'n", "Çà É́é İstanbul H̱e ﬁx \xa0a　b ½ ² ª_b", "</w> a</w>b <|endoftext|> z", "\x1cq\x1fr", "中文 Straße ÀÖ×÷ø", "", " \n "]
+    want = [e.ids for e in packing._tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):  # with an empty and with a filled cache
+        assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode(texts, path)] == want
