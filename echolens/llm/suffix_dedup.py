@@ -12,9 +12,14 @@ document above the phrase's smallest has all its windows removed. Dictionary: on
 occurrence in its smallest document is left to decide, and only if some other phrase has the same
 trigger; the windows of these phrases are sorted corpus-wide by their span-byte prefix and each takes
 the smallest document of its run. Order beyond ``span`` bytes is never needed, so the dictionary's
-suffixes are ranked by 64-bit hashes of their first ``span`` bytes, in ranges, not by comparison.
+suffixes are ranked by hashes of their first ``span`` bytes, in ranges, not by comparison.
 
-Both sorts go through ``common.exchange``: a block sends each distinct phrase, trigger or window
+There are three sorts. By trigger: a trigger with a single phrase in the whole corpus (most have one)
+decides that phrase at once. By phrase, those of triggers with several. By window, those still open.
+Triggers are compared by 48 bits, which can only add phrases to the second sort. A trigger's phrases
+are then compared by 64 bits, phrases of several and windows by 96: 64 and 32 of a second hash.
+
+All sorts go through ``common.exchange``: a block sends each distinct phrase, trigger or window
 once, so a passage in a third of all documents is a single row per block.
 
 Edge cases: null text is empty; texts shorter than span keep all bytes; very long texts are parsed in
@@ -24,14 +29,14 @@ each other's bytes; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, answers, cuts, dump, exchange, join48, load, mix64, n_blocks, restore_id, runs, split48, to_blocks
+from .common import RID, answers, cuts, dump, exchange, join48, load, mix64, n_blocks, narrow, restore_id, runs, split48, to_blocks
 
 GRAM = 24
 TILE = 1 << 17
@@ -45,9 +50,11 @@ def _powers(n: int) -> list[np.uint64]:
 
 
 _POW = _powers(64)
+_BYTE2 = np.random.default_rng(12).integers(0, 1 << 64, 256, dtype=np.uint64)
+_POW2 = [np.uint64(pow(0xD6E8FEB86659FD93, i, 1 << 64)) for i in range(65)]
 
 
-def _grown(parts: dict[int, np.ndarray], want: int) -> np.ndarray:
+def _grown(parts: dict[int, np.ndarray], want: int, power: list[np.uint64] = _POW) -> np.ndarray:
     """Polynomial hashes of every substring of ``want`` bytes, from those of powers of two."""
     out, length = None, 0
     for k in sorted(parts, reverse=True):
@@ -56,11 +63,20 @@ def _grown(parts: dict[int, np.ndarray], want: int) -> np.ndarray:
                 out = parts[k]
             else:
                 n = min(len(out), len(parts[k]) - length)
-                out = out[:n] * _POW[k] + parts[k][length : length + n]
+                out = out[:n] * power[k] + parts[k][length : length + n]
             length += k
     return out
 
 
+def _hashes(data: np.ndarray, span: int, byte: np.ndarray, power: list[np.uint64]) -> np.ndarray:
+    """The hash of every window of the data."""
+    h, k = {1: byte[data]}, 1
+    while 2 * k <= span:
+        h[2 * k] = h[k][:-k] * power[k] + h[k][k:]
+        k *= 2
+    return mix64(_grown(h, span, power))
+
+
 def phrases(data: np.ndarray, ends: np.ndarray, span: int):
     """Phrases of texts laid end to end: (first window, number of windows, trigger), and the window
     hashes. ends: where each text stops. Windows that leave their text are in no phrase."""
@@ -116,7 +132,7 @@ class Block:
                 at.append(first - (ends[which] - starts[which][:, 1]) + starts[which][:, 0])
                 length.append(run)
                 trigger.append(trig)
-                key.append(mix64(window[first] * np.uint64(3) + mix64(window[first + run - 1]) + run.astype(np.uint64)))
+                key.append(_phrase_key(window[first], window[first + run - 1], run))
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.doc, self.at, self.length = cat(doc, np.int64), cat(at, np.int64), cat(length, np.int64)
         self.trigger, self.key = cat(trigger, np.uint64), cat(key, np.uint64)
@@ -151,25 +167,44 @@ class Block:
         np.minimum.at(low, inverse, ids[of])
         return distinct, inverse, low
 
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of these phrases, every window: its phrase, its offset there, the hash of its bytes."""
+    def _bytes(self, which: np.ndarray):
+        """Of these phrases, some at a time: the bytes end to end, where each begins, numbers of windows."""
         run = self.length[which]
-        phrase = np.repeat(which, run)
-        offset = np.arange(len(phrase)) - np.repeat(np.cumsum(run) - run, run)
-        out = [np.zeros(0, np.uint64)]
         size = np.cumsum(run + self.span - 1)
-        for lo, hi in _pieces(size, 8 * TILE):
+        for lo, hi in _pieces(size, TILE):
             part = which[lo:hi]
             long = run[lo:hi] + self.span - 1
-            data = np.frombuffer(b"".join(self.texts[d][a : a + n] for d, a, n in zip(self.doc[part], self.at[part], long, strict=True)), np.uint8)
-            h, k = {1: _BYTE[data]}, 1
-            while 2 * k <= self.span:
-                h[2 * k] = h[k][:-k] * _POW[k] + h[k][k:]
-                k *= 2
-            start = np.cumsum(long) - long
-            at = np.repeat(start, run[lo:hi]) + np.arange(int(run[lo:hi].sum())) - np.repeat(np.cumsum(run[lo:hi]) - run[lo:hi], run[lo:hi])
-            out.append(mix64(_grown(h, self.span)[at]))
-        return phrase, offset, np.concatenate(out)
+            yield np.frombuffer(b"".join(self.texts[d][a : a + n] for d, a, n in zip(self.doc[part], self.at[part], long, strict=True)), np.uint8), np.cumsum(long) - long, run[lo:hi]
+
+    def windows(self, which: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of these phrases, every window: its phrase, its offset there, the hash of its bytes, and if asked the second hash."""
+        run = self.length[which]
+        phrase = np.repeat(which, run)
+        offset = np.arange(len(phrase)) - np.repeat(np.cumsum(run) - run, run)
+        out, check = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+        for data, start, run in self._bytes(which):
+            at = np.repeat(start, run) + np.arange(int(run.sum())) - np.repeat(np.cumsum(run) - run, run)
+            out.append(_hashes(data, self.span, _BYTE, _POW)[at])
+            if second:
+                check.append(_top32(_hashes(data, self.span, _BYTE2, _POW2)[at]))
+        return phrase, offset, np.concatenate(out), np.concatenate(check)
+
+    def checks(self, which: np.ndarray) -> np.ndarray:
+        """The second hash of these phrases."""
+        out = [np.zeros(0, np.uint32)]
+        for data, start, run in self._bytes(which):
+            h = _hashes(data, self.span, _BYTE2, _POW2)
+            out.append(_top32(_phrase_key(h[start], h[start + run - 1], run)))
+        return np.concatenate(out)
+
+
+def _phrase_key(first: np.ndarray, last: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """A phrase's hash, from its first and last windows, which cover it."""
+    return mix64(first * np.uint64(3) + mix64(last) + run.astype(np.uint64))
+
+
+def _top32(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(32)).astype(np.uint32)
 
 
 def _pieces(ends: np.ndarray, size: int):
@@ -181,41 +216,74 @@ def _pieces(ends: np.ndarray, size: int):
         lo = hi
 
 
-def _send(kind: int, keys: np.ndarray, buckets: int, *values: np.ndarray):
+def _pack(ids: np.ndarray) -> tuple:
+    """Ids as 16 bits and the rest, which compresses well."""
+    x = ids.astype(np.int64).view(np.uint64)
+    rest = narrow(x >> np.uint64(16))
+    return (x & np.uint64(0xFFFF)).astype(np.uint16), rest.dtype.str, zlib.compress(rest.view(np.uint8).reshape(len(x), rest.itemsize).T.tobytes(), 1)
+
+
+def _unpack(packed: tuple) -> np.ndarray:
+    low, kind, rest = packed
+    high = np.frombuffer(zlib.decompress(rest), np.uint8).reshape(np.dtype(kind).itemsize, len(low)).T.copy().view(kind)[:, 0]
+    return ((high.astype(np.uint64) << np.uint64(16)) | low).view(np.int64)
+
+
+def _send(kind: int, keys: np.ndarray, buckets: int, head, value: np.ndarray, ids: np.ndarray, *flags: np.ndarray):
+    """A message for each bucket: head(keys), each one's value and id, flags."""
     at = cuts(keys, buckets)
     for b in range(buckets):
         if at[b] < at[b + 1]:
             part = slice(at[b], at[b + 1])
-            low = [v[part] for v in values]
-            yield kind, b, dump(*split48(keys[part]), *low)
+            yield kind, b, dump(*head(keys[part]), value[part], *[np.packbits(f[part]) for f in flags], _pack(ids[part]))
 
 
+def _split64(keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted 64-bit keys: their top 16 bits compress to nothing."""
+    return *split48(keys), (keys & np.uint64(0xFFFF)).astype(np.uint16)
 
-def _bits(data: pd.DataFrame, kind: int, n: int) -> np.ndarray:
-    got = [np.unpackbits(b, count=k).astype(bool) for b, k in answers(data).get(kind, [])]
-    return np.concatenate(got) if got else np.zeros(n, bool)
 
+def _join64(d: tuple) -> np.ndarray:
+    return (join48(d[0], d[1]) << np.uint64(16)) | d[2].astype(np.uint64)
 
-def _merge(kind: int, data: list[tuple]) -> list[bytes]:
-    """1: is a phrase's smallest document outside the block smaller than the block's own?
-    2: does a trigger have several phrases? 3: as 1, for windows."""
-    group, n, at = runs([join48(d[0], d[1]) for d in data])
-    if kind == 2:
-        low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-        high = np.zeros(n, np.uint64)
-        np.minimum.at(low, group, np.concatenate([join48(d[2], d[3]) for d in data]))
-        np.maximum.at(high, group, np.concatenate([join48(d[2], d[3]) ^ join48(d[4], d[5]) for d in data]))
-        yes = (low != high)[group]
-    else:
-        ids = np.concatenate([d[2] for d in data]).astype(np.int64)
-        low = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(low, group, ids)
-        yes = low[group] < ids
-    return [dump(np.packbits(yes[a:b]), int(b - a)) for a, b in zip(at[:-1], at[1:], strict=True)]
 
+def _bits(data: pd.DataFrame, kind: int, n: int) -> list[np.ndarray]:
+    """The answers of a kind, as arrays of flags: for kind 1 two, else one."""
+    got = answers(data).get(kind, [])
+    flags = 1 + (kind == 1)
+    return [np.concatenate([np.unpackbits(d[f], count=d[-1]).astype(bool) for d in got]) if got else np.zeros(n, bool) for f in range(flags)]
 
-def _ids(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint32) if len(x) and x.min() >= 0 and x.max() < 1 << 32 else x
+
+def _merge(kind: int, data: list[tuple]) -> list[bytes]:
+    """1: does a trigger have several phrases? If not, is its phrase's smallest document outside the
+    block smaller than the block's own? 2: the latter for phrases; 3: for windows."""
+    ids = np.concatenate([_unpack(d[-1]) for d in data])
+    if kind == 1:
+        group, n, at = runs([join48(d[0], d[1]) for d in data])
+        key = np.concatenate([d[2] for d in data])
+        least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+        most = np.zeros(n, np.uint64)
+        np.minimum.at(least, group, key)
+        np.maximum.at(most, group, key)
+        many = least != most
+        many[group[np.concatenate([np.unpackbits(d[3], count=len(d[2])).astype(bool) for d in data])]] = True
+    else:
+        group, n, at = runs([_join64(d) for d in data])
+        check = np.concatenate([d[3] for d in data])
+        least = np.full(n, np.iinfo(np.uint32).max, np.uint32)
+        most = np.zeros(n, np.uint32)
+        np.minimum.at(least, group, check)
+        np.maximum.at(most, group, check)
+        if (least != most).any():  # equal in 64 bits, not in 96
+            distinct, group = np.unique((group.astype(np.uint64) << np.uint64(32)) | check, return_inverse=True)
+            n = len(distinct)
+        many = np.zeros(n, bool)
+    low = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(low, group, ids)
+    many = many[group]
+    yes = (low[group] < ids) & ~many
+    flags = [many, yes] if kind == 1 else [yes]
+    return [dump(*[np.packbits(f[a:b]) for f in flags], int(b - a)) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50) -> DataFrame:
@@ -226,34 +294,50 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def parse(pdf: pd.DataFrame):
         b = Block(pdf, span)
-        keys, _, low = b.least(b.key, b.doc, b.ids)
-        yield from _send(1, keys, buckets, _ids(low))
         order = np.lexsort((b.key, b.trigger))
-        trig, key = b.trigger[order], b.key[order]
+        trig, key, ids = b.trigger[order], b.key[order], b.ids[b.doc[order]]
         first = np.ones(len(trig), bool)
         first[1:] = trig[1:] != trig[:-1]
         at = np.flatnonzero(first)
         last = np.append(at[1:], len(trig)) - 1 if len(at) else at
-        yield from _send(2, trig[at], buckets, *split48(key[at]), *split48(key[at] ^ key[last]))  # mostly equal: zeros cost nothing
+        low = np.minimum.reduceat(ids, at) if len(at) else ids
+        yield from _send(1, trig[at], buckets, split48, key[at], low, key[at] != key[last])
 
     def open_phrases(b: Block, got: pd.DataFrame):
-        """Which occurrences are above their phrase's smallest document; which distinct phrases are undecided, by an occurrence."""
-        keys, inverse, low = b.least(b.key, b.doc, b.ids)
-        outside = _bits(got, 1, len(keys))
-        gone = outside[inverse] | (b.ids[b.doc] > low[inverse])
+        """Which occurrences are above their phrase's smallest document as far as known; the distinct phrases of triggers with several, which occurrence each is, their smallest documents here."""
+        _, inverse, low = b.least(b.key, b.doc, b.ids)
         trig, where = np.unique(b.trigger, return_inverse=True)
-        several = _bits(got, 2, len(trig))[where]
-        left = np.flatnonzero(~gone & several)
+        several, outside = _bits(got, 1, len(trig))
+        gone = outside[where] | (b.ids[b.doc] > low[inverse])
+        some = np.flatnonzero(several[where])
+        keys, one, back = np.unique(b.key[some], return_index=True, return_inverse=True)
+        return gone, some, keys, some[one], back, low[inverse[some[one]]]
+
+    def left_phrases(b: Block, got: pd.DataFrame):
+        """Which occurrences are above their phrase's smallest document; which are undecided; a distinct one of each."""
+        gone, some, keys, _, back, _ = open_phrases(b, got)
+        gone[some] |= _bits(got, 2, len(keys))[0][back]
+        left = some[~gone[some]]
         _, one = np.unique(b.key[left], return_index=True)
         return gone, left, left[one]
 
+    def rows_of(pdf: pd.DataFrame, sent) -> pd.DataFrame:
+        rows = [(k, c, int(pdf["block"].iloc[0]), d) for k, c, d in sent] if len(pdf) else []
+        return pd.DataFrame(rows, columns=["kind", "bucket", "block", "data"])
+
+    def several(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        b = Block(pdf, span)
+        _, _, keys, one, _, low = open_phrases(b, got)
+        return rows_of(pdf, _send(2, keys, buckets, _split64, b.checks(one), low))
+
     def undecided(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         b = Block(pdf, span)
-        _, _, ask = open_phrases(b, got)
-        phrase, _, window = b.windows(ask)
-        keys, _, low = b.least(window, b.doc[phrase], b.ids)
-        rows = [(k, c, int(pdf["block"].iloc[0]), d) for k, c, d in _send(3, keys, buckets, _ids(low))] if len(pdf) else []
-        return pd.DataFrame(rows, columns=["kind", "bucket", "block", "data"])
+        _, _, ask = left_phrases(b, got)
+        phrase, _, window, check = b.windows(ask, second=True)
+        keys, inverse, low = b.least(window, b.doc[phrase], b.ids)
+        of = np.zeros(len(keys), np.uint32)
+        of[inverse] = check
+        return rows_of(pdf, _send(3, keys, buckets, _split64, of, low))
 
     def owner(pdf: pd.DataFrame) -> pd.DataFrame:
         kind = int(pdf["kind"].iloc[0])
@@ -262,7 +346,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cover(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         b = Block(pdf, span)
-        gone, left, ask = open_phrases(b, got)
+        gone, left, ask = left_phrases(b, got)
         size = np.array([len(t) for t in b.texts], np.int64) + 1
         base = np.cumsum(size) - size
         removed = np.zeros(int(size.sum()) + 1, np.int32)
@@ -274,10 +358,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         g = np.flatnonzero(gone)
         mark(b.doc[g], b.at[g], b.length[g])
         if len(left):
-            phrase, _, window = b.windows(ask)
+            phrase, _, window, _ = b.windows(ask)
             keys, inverse, low = b.least(window, b.doc[phrase], b.ids)
-            outside = _bits(got, 3, len(keys))
-            phrase, offset, window = b.windows(left)
+            (outside,) = _bits(got, 3, len(keys))
+            phrase, offset, window, _ = b.windows(left)
             at = np.searchsorted(keys, window)
             hit = outside[at] | (b.ids[b.doc[phrase]] > low[at])
             mark(b.doc[phrase[hit]], b.at[phrase[hit]] + offset[hit], np.ones(int(hit.sum()), np.int64))
@@ -291,8 +375,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame(rows, columns=[RID, "id", "n_bytes", "spans", "kept"])
 
     by_block = blocks.groupBy("block")
-    parsed = exchange(blocks, parse, _merge)
-    asked = by_block.cogroup(parsed.groupBy("block")).applyInPandas(undecided, "kind int, bucket int, block long, data binary")
-    told = asked.groupBy("kind", "bucket").applyInPandas(owner, "block long, kind int, bucket int, data binary")
-    final = by_block.cogroup(parsed.union(told).groupBy("block")).applyInPandas(cover, f"{RID} long, id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+
+    def ask(step, known: DataFrame) -> DataFrame:
+        asked = by_block.cogroup(known.groupBy("block")).applyInPandas(step, "kind int, bucket int, block long, data binary")
+        return known.union(asked.groupBy("kind", "bucket").applyInPandas(owner, "block long, kind int, bucket int, data binary"))
+
+    known = ask(undecided, ask(several, exchange(blocks, parse, _merge)))
+    final = by_block.cogroup(known.groupBy("block")).applyInPandas(cover, f"{RID} long, id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     return final.select(RID, restore_id("id").alias(id_col), "n_bytes", "spans", "kept")
