@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import RID, col_of, with_rid
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_LEN = 12
+#: Tokens of an entity: 10[.]0[.]0[.]1 has 13, john.smith [at] mail [dot] example [dot] com 15.
+MAX_LEN = 24
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -78,7 +79,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---- the model ---------------------------------------------------------------------------------
 _BESIDE = (("mail", "email", "contact", "write"), ("phone", "tel", "call", "fax", "mobile", "telefon"), ("card", "visa", "credit", "pan", "payment"), ("ip", "host", "server", "address", "addr"), ("order", "invoice", "id", "no", "ref", "version", "isbn", "page", "sku", "token", "key", "password"))
 _GROUPS = {"16": 0, "4-4-4-4": 1, "15": 2, "4-6-5": 3, "3-3-4": 4, "1-3-3-4": 5, "10": 6, "2-2-2-2-2": 7, "4-2-2": 8, "2-2-4": 9, "3-4": 10, "11": 11, "2-3-3-4": 12, "3-4-4": 13, "14": 14, "2-4-6": 15}
-N_FACTS = 80
+_MORE = re.compile(r"\s?[\[({<]\s?dot\s?[\])}>]\s?[a-z0-9]| dot [a-z0-9]", re.IGNORECASE)
+N_FACTS = 81
 
 
 def facts(text: str, toks: list[tuple[int, int]], i: int, j: int) -> list[int]:
@@ -113,6 +115,8 @@ def facts(text: str, toks: list[tuple[int, int]], i: int, j: int) -> list[int]:
         f.append(68)
     if b + 1 < len(text) and text[b] == "." and text[b + 1].isalnum():
         f.append(69)
+    if letters and _MORE.match(text, b):
+        f.append(80)
     near = re.findall(r"[a-z]+", text[max(0, a - 24) : a].lower())[-2:]
     f += [70 + k for k, words in enumerate(_BESIDE) if any(x in words for x in near)]
     f.append(75 if j == i else 76 if j - i < 4 else 77)
@@ -168,6 +172,8 @@ class SemiCRF:
             hot[k, f] = 1
         want = {(a, b): KINDS.index(kind) for kind, a, b in gold}
         truth = [(k, want[(toks[i][0], toks[j][1])]) for k, (i, j, _) in enumerate(segs) if (toks[i][0], toks[j][1]) in want]
+        if len(truth) < len(want):
+            raise ValueError(f"not every entity of {text!r} is a segment")
         return len(toks), segs, hot, truth
 
     def _gradient(self, n: int, segs, hot, truth) -> np.ndarray:
@@ -237,7 +243,7 @@ def labelled_regions(seed: int, n: int) -> list[tuple[str, list[tuple[str, int,
         if kind == "email":
             name, host = pick([word(), f"{word()}.{num(2)}", f"{word()}.{word()}"]), pick([word(), f"mail{num(1)}"])
             at, dot = pick([("@", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), ("@", ".")])
-            return f"{name}{at}{host}{dot}{pick(['com', 'org', 'net', 'de', 'example.com'])}"
+            return f"{name}{at}{host}{dot}{pick(['com', 'org', 'net', 'de', 'example.com', f'example{dot}com'])}"
         if kind == "ip":
             return pick([".", ".", " . ", "[.]"]).join(str(int(x)) for x in rng.integers(1, 255, 4))
         if kind == "card":
