@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, lm_score, media, ngram_join, packing, pii, secrets, suffix_dedup, toxicity, url_filter
-from .common import RID
+from .common import RID, materialise
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -79,7 +79,7 @@ def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Lexicon:
-    return toxicity.fit(toxicity.training_rows(docs, labels))
+    return toxicity.fit(materialise(toxicity.training_rows(docs, labels), "training"))  # read several times, joined once
 
 
 def op8_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ labelled clean cancel the hits they cover. A text's mass is the sum over its hit
 logistic function of the mass, the mass by the square root of the length, and whether anything was
 hit, fitted on a bounded sample of the labelled rows (``fit_rows``).
 
-Entry counts run over every labelled row in ``train``; the lexicon is bounded by ``max_entries``.
+Entry counts run over every labelled row and every entry found in one of 400 toxic rows; no list of
+entries or exceptions is cut.
 
 Edge cases: null and empty texts get the score of a text without hits; rows whose label is null are
 not learnt from; without labels of both kinds every score is 0; repeated rows are scored one by one.
@@ -141,8 +142,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
     return b
 
 
-def fit(labelled: DataFrame, text_col: str = "t", label_col: str = "y", max_entries: int = 20_000, fit_rows: int = 20_000, least_ratio: float = 10.0) -> Lexicon:
-    """Learn from rows (text, label 0/1). Counts cover every row; lists that reach the driver are bounded."""
+def fit(labelled: DataFrame, text_col: str = "t", label_col: str = "y", fit_rows: int = 20_000, least_ratio: float = 10.0) -> Lexicon:
+    """Learn from rows (text, label 0/1). Counts cover every row and every entry."""
     rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
     total = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     pos, neg = total.get(1, 0), total.get(0, 0)
@@ -160,9 +161,9 @@ def fit(labelled: DataFrame, text_col: str = "t", label_col: str = "y", max_entr
 
         return run
 
-    least = max(3, pos // 400)
+    least = max(3, pos // 400)  # so there are at most 400 times as many as a toxic row has on average, however many rows
     top = rows.where("y = 1").mapInPandas(count_entries(None), "e string, n long").groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    up = {r[0]: r[1] for r in top.orderBy(F.desc("n"), "e").limit(max_entries).collect()}
+    up = {r[0]: r[1] for r in top.collect()}
     seen = rows.where("y = 0").mapInPandas(count_entries(set(up)), "e string, n long").groupBy("e").agg(F.sum("n"))
     down = {r[0]: r[1] for r in seen.collect()}
     weights = {e: math.log((n / (pos + 1)) / ((down.get(e, 0) + 2) / (neg + 2))) for e, n in up.items()}
@@ -191,7 +192,7 @@ def fit(labelled: DataFrame, text_col: str = "t", label_col: str = "y", max_entr
             yield pd.DataFrame([(p, n * (y == 1), n * (y == 0)) for (p, y), n in c.items()], columns=["p", "bad", "good"])
 
     phrases = rows.mapInPandas(count_phrases, "p string, bad long, good long").groupBy("p").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("good >= 2 and bad = 0")
-    model = Lexicon(weights, {r[0] for r in phrases.orderBy(F.desc("good"), "p").limit(max_entries).collect()}, np.zeros(4))
+    model = Lexicon(weights, {r[0] for r in phrases.collect()}, np.zeros(4))
 
     def measure(batches):
         for pdf in batches:
