@@ -109,8 +109,10 @@ def in_sample(col: str, rows: int, total: int) -> Column:
 
 
 def hash_sample(df: DataFrame, col: str, rows: int, total: int) -> list:
-    """About ``rows`` values of a column, at most twice as many, in order."""
-    return sorted(r[0] for r in df.where(in_sample(col, rows, total)).select(col).limit(2 * rows).collect())
+    """At most ``rows`` values of a column, of about as many rows chosen by the hash of their number:
+    copies are chosen one by one, and the same stored table gives the same sample."""
+    kept = with_rid(df.select(col)).withColumn("h", F.xxhash64(RID)).where(in_sample(RID, rows, total))
+    return sorted(r[0] for r in kept.orderBy("h", RID).limit(rows).select(col).collect())
 
 
 # ---- arrays in binary columns ------------------------------------------------------------------
@@ -199,24 +201,28 @@ def runs(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 # ---- graph components --------------------------------------------------------------------------
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, comp): the smallest node of each connected component, for nodes that have an edge.
 
     Alternating large-star and small-star steps; every step is a min by node (combined before the
     shuffle) and a join, and its edges are written to the shared folder. Converges in a logarithmic
-    number of steps; nothing but a count and a checksum reaches the driver.
+    number of steps, or raises; it ends when a step leaves every edge as it was, by number and two
+    64-bit sums of hashes. Nothing but these reaches the driver.
     """
     e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
-    for _ in range(rounds if not e.isEmpty() else 0):
+    seen = () if e.isEmpty() else None
+    for _ in range(rounds):
+        if seen == ():
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b")).union(low.select("u", "m")).toDF("u", "v")
         e = materialise(small.where("u <> v").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if seen == tuple(now):
-            break
-        seen = tuple(now)
+        mark = lambda seed: F.sum(F.xxhash64("u", "v", F.lit(seed)).cast("decimal(20,0)"))
+        now = tuple(e.agg(F.count("*"), mark(1), mark(2)).first())
+        seen = () if seen == now else now
+    if seen != ():
+        raise RuntimeError(f"components have not converged in {rounds} steps")
     return e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp").union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -7,13 +7,16 @@ rates in toxic and other rows, with the rate in other rows taken high while it r
 Exception phrases (a hit word, or the word before it and the word) that only ever occur in rows
 labelled clean cancel the hits they cover. A text's mass is the sum over its hit words; score is a
 logistic function of the mass, the mass by the square root of the length, and whether anything was
-hit, fitted on a bounded sample of the labelled rows (``fit_rows``).
+hit.
 
-Entry counts run over every labelled row and every entry found in one of 400 toxic rows; no list of
-entries or exceptions is cut.
+Everything is learnt from a bounded sample of the labelled rows (``labelled_rows``): labels are chosen
+by a hash of their id, broadcast to the texts, and the chosen texts are written once; every pass of the
+fit reads only those. No list of entries or exceptions is cut, and every document is scored.
 
-Edge cases: null and empty texts get the score of a text without hits; rows whose label is null are
-not learnt from; without labels of both kinds every score is 0; repeated rows are scored one by one.
+Edge cases: null and empty texts get the score of a text without hits; very long texts are scored
+whole; a label that is neither 0 nor 1 is not learnt from, of several labels of an id the larger
+counts; without labels of both kinds, or without labelled rows at all, every score is 0; repeated rows
+are scored one by one; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, col_of, in_sample, with_rid
+from .common import RID, col_of, in_sample, materialise, shuffle_partitions, with_rid
 
 #: Look-alike letters and signs, and the Latin letters they stand for.
 LOOKALIKES = {
@@ -142,9 +145,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
     return b
 
 
-def fit(labelled: DataFrame, text_col: str = "t", label_col: str = "y", fit_rows: int = 20_000, least_ratio: float = 10.0) -> Lexicon:
-    """Learn from rows (text, label 0/1). Counts cover every row and every entry."""
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of their values; stored, so that passes read it and not its source."""
+    kept = rows.withColumn("h", F.xxhash64(*rows.columns)).orderBy("h", *rows.columns).limit(most).drop("h")
+    return materialise(kept.repartition(shuffle_partitions(rows.sparkSession)), "training")
+
+
+def fit(labelled: DataFrame, text_col: str = "t", label_col: str = "y", labelled_rows: int = 20_000, least_ratio: float = 10.0) -> Lexicon:
+    """Learn from rows (text, label 0/1), from at most ``labelled_rows`` of them."""
     rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
+    rows = bounded(rows, labelled_rows)
     total = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     pos, neg = total.get(1, 0), total.get(0, 0)
     if not pos or not neg:
@@ -202,10 +212,7 @@ def fit(labelled: DataFrame, text_col: str = "t", label_col: str = "y", fit_rows
                 out.append((*features(words, model.found(words)), y))
             yield pd.DataFrame(out, columns=["a", "b", "c", "y"])
 
-    sample = rows.where(in_sample("t", fit_rows, pos + neg)).mapInPandas(measure, "a double, b double, c double, y int").limit(2 * fit_rows).toPandas()
-    if sample.empty or sample["y"].nunique() < 2:
-        return model
-    sample = sample.sort_values(["a", "b", "c", "y"])
+    sample = rows.mapInPandas(measure, "a double, b double, c double, y int").toPandas().sort_values(["a", "b", "c", "y"])
     model.beta = _logistic(sample[["a", "b", "c"]].to_numpy(), sample["y"].to_numpy().astype(float))
     return model
 
@@ -222,11 +229,16 @@ def score(docs: DataFrame, model: Lexicon, id_col: str = "doc_id", text_col: str
     return src.mapInPandas(run, f"{RID} long, i string, score double").select(RID, F.col("i").cast(kind).alias(id_col), "score")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1) -> DataFrame:
-    """Labelled rows (t, y) outside the held-out fold of crc32(id as text)."""
-    lab = labels.select(col_of(labels, id_col).alias("i"), col_of(labels, label_col).alias("y")).where("y is not null").groupBy("i").agg(F.max("y").alias("y"))
-    src = docs.select(col_of(docs, id_col).alias("i"), col_of(docs, text_col).cast("string").alias("t"))
-    return src.join(lab, "i").where(~held_out("i", folds, held)).select("t", "y")
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, labelled_rows: int = 20_000) -> DataFrame:
+    """Labelled rows (t, y) outside the held-out fold of crc32(id as text), for about ``labelled_rows``
+    labels chosen by their id's hash. At most twice as many labels are broadcast."""
+    lab = labels.select(col_of(labels, id_col).cast("string").alias("i"), col_of(labels, label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)")
+    lab = lab.where(~held_out("i", folds, held))
+    n = lab.agg(F.approx_count_distinct("i", 0.02)).first()[0]
+    chosen = lab.where(in_sample("i", labelled_rows, n)).groupBy("i").agg(F.max("y").alias("y"))
+    chosen = chosen.orderBy(F.xxhash64("i"), "i").limit(2 * labelled_rows)
+    src = docs.select(col_of(docs, id_col).cast("string").alias("i"), col_of(docs, text_col).cast("string").alias("t"))
+    return src.join(F.broadcast(chosen), "i").select("t", "y")
 
 
 def held_out(col: str, folds: int, held: int):
