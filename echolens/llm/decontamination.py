@@ -8,11 +8,14 @@ the items are gathered. Items shorter than the window are one window each and ar
 hashes of their own length, for the lengths that occur.
 
 The benchmark's distinct fingerprints are broadcast only below ``broadcast_rows``; beyond it, the
-same join runs as a shuffle join. Windows that several items share are one row with a list of items,
-so neither a passage in many documents nor one in many items multiplies rows.
+same join runs as a shuffle join. Windows that several items share are one row that names a list of
+items; lists are stored once and meet a document once, however many of its windows name them, so
+neither a passage in many documents nor one in many items multiplies rows.
 
 Edge cases: null or empty texts have no words; a null item id takes part in hits but not in the
-items; repeated rows and ids are answered row by row; an empty benchmark contaminates nothing.
+items; repeated rows and ids are answered row by row; an empty benchmark contaminates nothing, an empty
+table gives no rows; texts of any length are read whole; other columns are ignored or, by
+``keep_uncontaminated``, kept, whatever their names (but ``__rid``).
 """
 
 from __future__ import annotations
@@ -71,13 +74,14 @@ def _hit_grams(words: Column, length: int) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, gram: int = 7, share: int = 20, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(__rid, id_col, n_words, n_hit, n_items, items array<string>, contaminated) per document.
-    contaminated: n_hit > 0 and share * n_hit >= n_words."""
+    """(__rid, id_col, n_words, n_hit, n_items, items array<string>, contaminated, passage) per document.
+    contaminated: n_hit > 0 and share * n_hit >= n_words; passage: a window of full length occurs."""
     items = benchmark.select(col_of(benchmark, item_col).cast("string").alias("item"), words_of(col_of(benchmark, item_text)).alias("w")).where("size(w) > 0")
     cut = F.when(F.size("w") < window, F.array("w")).otherwise(F.transform(_places(F.col("w"), window), lambda i: F.slice("w", i, window)))
     spans = items.select("item", F.explode(cut).alias("key")).groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     mark = F.when(F.size("key") >= window, let(F.col("key"), lambda k: F.array_min(window_marks(k, window, gram)))).otherwise(F.xxhash64("key"))
-    spans = materialise(spans.select("key", F.size("key").alias("n"), "items", mark.alias("mark")), "spans")
+    spans = materialise(spans.select("key", F.size("key").alias("n"), "items", F.md5(F.to_json("items")).alias("list"), mark.alias("mark")), "spans")
+    lists = spans.groupBy("list").agg(F.first("items").alias("of"))
     marks = spans.select("mark").distinct()
     if marks.count() <= broadcast_rows:
         marks = F.broadcast(marks)
@@ -91,11 +95,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     at = let(words, lambda w: F.concat(_hit_windows(w, window, gram), *[_hit_grams(w, k) for k in lengths]))
     places = src.join(hit, RID).select(RID, F.explode(at).alias("s")).select(RID, "s.at", "s.key")
-    match = places.join(spans.select("key", "n", "items"), "key")
-    per_doc = match.groupBy(RID).agg(
-        F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("stop")))).alias("runs"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    match = places.join(spans.select("key", "n", "list"), "key")
+    per_doc = materialise(
+        match.groupBy(RID).agg(
+            F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("stop")))).alias("runs"),
+            F.collect_set("list").alias("lists"),
+            (F.max("n") >= window).alias("passage"),
+        ),
+        "matches",
     )
+    named = per_doc.select(RID, F.explode("lists").alias("list")).join(lists, "list").select(RID, F.explode("of").alias("item"))
+    named = named.groupBy(RID).agg(F.sort_array(F.collect_set("item")).alias("items"))
     start = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("upto"))
     merged = F.aggregate(
         "runs",
@@ -105,7 +115,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             F.greatest(acc["upto"], r["stop"]).alias("upto"),
         ),
     )
-    covered = per_doc.select(RID, merged["hit"].alias("hit"), "items")
+    covered = per_doc.select(RID, merged["hit"].alias("hit"), "passage").join(named, RID, "left")
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     n_words = F.col("n").cast("long")
     return src.select(RID, "i", F.size(words).alias("n")).join(covered, RID, "left").select(
@@ -116,10 +126,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (n_hit * share >= n_words)).alias("contaminated"),
+        F.coalesce("passage", F.lit(False)).alias("passage"),
     )
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, **options).where("contaminated").select(RID)
+    """docs with all their columns, without those that are contaminated or hold a passage of a benchmark
+    item of the full window's length, however small a share of their words it is. A hit by an item of
+    fewer words, which ordinary text can hold by chance, only counts by its share."""
+    bad = contamination(docs, benchmark, **options).where("contaminated or passage").select(RID)
     return with_rid(docs).join(bad, RID, "left_anti").drop(RID)
