@@ -167,6 +167,23 @@ links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id =
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+""",
+    "op3_suffix_dedup": """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS MATERIALIZED (SELECT doc_id, at, substr(h, 2 * at + 1, 898) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 400)) AS at FROM d)),
+w AS MATERIALIZED (SELECT doc_id, at + i AS i, md5(substr(h, 2 * i - 1, 100)) AS k FROM (SELECT doc_id, at, h, unnest(range(1, len(h) // 2 - 48)) AS i FROM c)),
+m AS (SELECT k, min(doc_id) AS first_id FROM w GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, i FROM w JOIN m USING (k) WHERE first_id < doc_id),
+new AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens FROM hit),
+run AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM new),
+span AS (SELECT doc_id, min(i) - 1 AS s, max(i) + 49 AS e FROM run GROUP BY doc_id, g),
+piece AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS b FROM span
+  UNION ALL SELECT doc_id, max(e), 1000000000 FROM span GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM piece JOIN d USING (doc_id) GROUP BY doc_id),
+total AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN total USING (doc_id)
 """,
     "op4_url_temporal_join": _op4_sql(),
     "op5_winnowing": f"""

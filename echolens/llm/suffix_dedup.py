@@ -4,35 +4,36 @@ A rolling hash over ``GRAM`` bytes names a trigger for every window of ``span``
 smallest gram hash. Consecutive windows with one trigger form a phrase, whose bytes reach to the end
 of its last window, so that phrases overlap by span - 1 bytes, every window lies in exactly one
 phrase, and equal windows have equal triggers wherever they stand. The parse is each document's
-sequence of phrases; the dictionary is the set of distinct phrases, each with the smallest document
-it occurs in.
-
-Corpus order of windows then comes from the two parts. Parse: an occurrence of a phrase in a
-document above the phrase's smallest has all its windows removed. Dictionary: only a phrase's
-occurrence in its smallest document is left to decide, and only if some other phrase has the same
-trigger; the windows of these phrases are sorted corpus-wide by their span-byte prefix and each takes
-the smallest document of its run. Order beyond ``span`` bytes is never needed, so the dictionary's
-suffixes are ranked by hashes of their first ``span`` bytes, in ranges, not by comparison.
-
-There are three sorts. By trigger: a trigger with a single phrase in the whole corpus (most have one)
-decides that phrase at once. By phrase, those of triggers with several. By window, those still open.
-Triggers are compared by 48 bits, which can only add phrases to the second sort. A trigger's phrases
-are then compared by 64 bits, phrases of several and windows by 96: 64 and 32 of a second hash.
-
-All sorts go through ``common.exchange``: a block sends each distinct phrase, trigger or window
-once, so a passage in a third of all documents is a single row per block.
+sequence of phrases; the dictionary is the set of distinct phrases.
+
+Corpus order of windows comes from both parts. The dictionary's phrases are sorted by their bytes, and
+where a trigger has several phrases, so are all suffixes of these phrases, up to ``span`` bytes: the
+dictionary's suffix array, cut at the depth that the answer needs. The parse says which documents hold
+a phrase; a run of equal suffixes takes the smallest document of its phrases, and the window is removed
+from every document above that one. Equality is always decided on bytes; hashes only deal out work.
+
+There are two exchanges (``common.exchange``). In the first, blocks send their distinct triggers, by 48
+bits; most occur in one block only, and that block sorts its own phrases. In the second, the phrases of
+triggers that several blocks hold go, with their bytes and smallest document, to the owner of the
+trigger's range, who sorts them. A trigger of more than ``hot`` phrases (some string of GRAM bytes in
+very many contexts) is not gathered: its windows go singly, by their own hashes, to owners of their own.
+A block sends each distinct phrase, trigger or window once, so a passage in a third of all documents is
+a single row per block. Triggers that agree in 48 bits only share an owner.
 
 Edge cases: null text is empty; texts shorter than span keep all bytes; very long texts are parsed in
-tiles that overlap; a null id counts as larger than any other; rows with the same id never remove
-each other's bytes; an empty table gives no rows.
+tiles that overlap; ids are integers, a null id counts as larger than any other; rows with the same id
+never remove each other's bytes; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +51,11 @@ def _powers(n: int) -> list[np.uint64]:
 
 
 _POW = _powers(64)
-_BYTE2 = np.random.default_rng(12).integers(0, 1 << 64, 256, dtype=np.uint64)
-_POW2 = [np.uint64(pow(0xD6E8FEB86659FD93, i, 1 << 64)) for i in range(65)]
+#: Suffixes that are sorted at once, about.
+AT_ONCE = 1 << 18
 
 
-def _grown(parts: dict[int, np.ndarray], want: int, power: list[np.uint64] = _POW) -> np.ndarray:
+def _grown(parts: dict[int, np.ndarray], want: int) -> np.ndarray:
     """Polynomial hashes of every substring of ``want`` bytes, from those of powers of two."""
     out, length = None, 0
     for k in sorted(parts, reverse=True):
@@ -63,20 +64,11 @@ def _grown(parts: dict[int, np.ndarray], want: int, power: list[np.uint64] = _PO
                 out = parts[k]
             else:
                 n = min(len(out), len(parts[k]) - length)
-                out = out[:n] * power[k] + parts[k][length : length + n]
+                out = out[:n] * _POW[k] + parts[k][length : length + n]
             length += k
     return out
 
 
-def _hashes(data: np.ndarray, span: int, byte: np.ndarray, power: list[np.uint64]) -> np.ndarray:
-    """The hash of every window of the data."""
-    h, k = {1: byte[data]}, 1
-    while 2 * k <= span:
-        h[2 * k] = h[k][:-k] * power[k] + h[k][k:]
-        k *= 2
-    return mix64(_grown(h, span, power))
-
-
 def phrases(data: np.ndarray, ends: np.ndarray, span: int):
     """Phrases of texts laid end to end: (first window, number of windows, trigger), and the window
     hashes. ends: where each text stops. Windows that leave their text are in no phrase."""
@@ -135,7 +127,34 @@ class Block:
                 key.append(_phrase_key(window[first], window[first + run - 1], run))
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.doc, self.at, self.length = cat(doc, np.int64), cat(at, np.int64), cat(length, np.int64)
-        self.trigger, self.key = cat(trigger, np.uint64), cat(key, np.uint64)
+        self.trigger, key = cat(trigger, np.uint64), cat(key, np.uint64)
+        for salt in range(100):
+            _, self.first, self.phrase = np.unique(key, return_index=True, return_inverse=True)
+            odd = self._unlike(np.flatnonzero(self.first[self.phrase] != np.arange(len(key))))
+            if not len(odd):
+                break
+            for k in odd:  # equal hashes, other bytes
+                key[k] = int.from_bytes(hashlib.blake2b(self._piece(k) + bytes([salt]), digest_size=8).digest(), "big")
+        self.low = np.full(len(self.first), np.iinfo(np.int64).max)
+        np.minimum.at(self.low, self.phrase, self.ids[self.doc])
+
+    def _piece(self, k: int) -> bytes:
+        return self.texts[self.doc[k]][self.at[k] : self.at[k] + self.length[k] + self.span - 1]
+
+    def _unlike(self, which: np.ndarray) -> np.ndarray:
+        """Those occurrences whose bytes are not those of their phrase's first occurrence."""
+        out = []
+        for lo in range(0, len(which), 1 << 15):
+            part = which[lo : lo + (1 << 15)]
+            of = self.first[self.phrase[part]]
+            if (self.length[part] != self.length[of]).any() or self.bytes(part) != self.bytes(of):
+                out += [k for k, f in zip(part.tolist(), of.tolist(), strict=True) if self._piece(k) != self._piece(f)]
+        return np.array(out, np.int64)
+
+    def bytes(self, which: np.ndarray) -> bytes:
+        """These occurrences' bytes end to end."""
+        size = self.length[which] + self.span - 1
+        return b"".join([self.texts[d][a : a + n] for d, a, n in zip(self.doc[which].tolist(), self.at[which].tolist(), size.tolist(), strict=True)])
 
     def _tiles(self):
         """(documents, [offset in the document, bytes], the bytes, where each ends): short texts together, long ones cut with overlap."""
@@ -160,60 +179,75 @@ class Block:
         s = np.array(starts, np.int64)
         return np.array(docs), s, np.frombuffer(b"".join(parts), np.uint8), np.cumsum(s[:, 1])
 
-    def least(self, keys: np.ndarray, of: np.ndarray, ids: np.ndarray):
-        """Distinct keys, where each entry is among them, and each key's smallest id."""
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        low = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(low, inverse, ids[of])
-        return distinct, inverse, low
-
-    def _bytes(self, which: np.ndarray):
-        """Of these phrases, some at a time: the bytes end to end, where each begins, numbers of windows."""
-        run = self.length[which]
-        size = np.cumsum(run + self.span - 1)
-        for lo, hi in _pieces(size, TILE):
-            part = which[lo:hi]
-            long = run[lo:hi] + self.span - 1
-            yield np.frombuffer(b"".join(self.texts[d][a : a + n] for d, a, n in zip(self.doc[part], self.at[part], long, strict=True)), np.uint8), np.cumsum(long) - long, run[lo:hi]
-
-    def windows(self, which: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of these phrases, every window: its phrase, its offset there, the hash of its bytes, and if asked the second hash."""
-        run = self.length[which]
-        phrase = np.repeat(which, run)
-        offset = np.arange(len(phrase)) - np.repeat(np.cumsum(run) - run, run)
-        out, check = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-        for data, start, run in self._bytes(which):
-            at = np.repeat(start, run) + np.arange(int(run.sum())) - np.repeat(np.cumsum(run) - run, run)
-            out.append(_hashes(data, self.span, _BYTE, _POW)[at])
-            if second:
-                check.append(_top32(_hashes(data, self.span, _BYTE2, _POW2)[at]))
-        return phrase, offset, np.concatenate(out), np.concatenate(check)
-
-    def checks(self, which: np.ndarray) -> np.ndarray:
-        """The second hash of these phrases."""
-        out = [np.zeros(0, np.uint32)]
-        for data, start, run in self._bytes(which):
-            h = _hashes(data, self.span, _BYTE2, _POW2)
-            out.append(_top32(_phrase_key(h[start], h[start + run - 1], run)))
-        return np.concatenate(out)
-
 
 def _phrase_key(first: np.ndarray, last: np.ndarray, run: np.ndarray) -> np.ndarray:
     """A phrase's hash, from its first and last windows, which cover it."""
     return mix64(first * np.uint64(3) + mix64(last) + run.astype(np.uint64))
 
 
-def _top32(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(32)).astype(np.uint32)
-
-
-def _pieces(ends: np.ndarray, size: int):
-    """Ranges of items whose running total is about ``size`` each."""
+def byte_runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (n, width) of bytes in order: the order, where each run of equal rows begins in it, each row's run."""
+    n, width = rows.shape
+    words = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    words[:, :width] = rows
+    words = words.view(">u8").astype(np.uint64)
+    order = np.lexsort(words.T[::-1])
+    new = np.ones(n, bool)
+    new[1:] = (words[order[1:]] != words[order[:-1]]).any(1)
+    run = np.empty(n, np.int64)
+    run[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), run
+
+
+def _cut(data: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` bytes from each place on, zeros beyond the end; rows are copied when taken."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)
+
+
+def smallest_documents(trigger: np.ndarray, data: np.ndarray, run: np.ndarray, ids: np.ndarray, span: int) -> np.ndarray:
+    """For phrases laid end to end (run: their windows), with a document each, the smallest document of
+    every window: the dictionary is sorted by phrases, then by suffixes where a trigger has several."""
+    if not len(run):
+        return np.zeros(0, np.int64)
+    size = run + span - 1
+    start = np.cumsum(size) - size
+    widest = int(size.max())
+    whole = _cut(data, widest + 2)[start]
+    whole[np.arange(widest + 2) >= size[:, None]] = 0
+    whole[:, widest:] = (run[:, None] >> np.array([8, 0])) & 255  # phrases that differ in length differ
+    order, first, phrase = byte_runs(whole)
+    low = np.minimum.reduceat(ids[order], first)
+    out = np.repeat(low[phrase], run)
+
+    of = np.unique(trigger, return_inverse=True)[1]
+    least, most = np.full(of.max() + 1, len(first)), np.full(of.max() + 1, -1)
+    np.minimum.at(least, of, phrase)
+    np.maximum.at(most, of, phrase)
+    several = np.flatnonzero((least != most)[of])
+    if not len(several):
+        return out
+    distinct, one = np.unique(phrase[several], return_index=True)
+    rep = several[one][np.argsort(of[several[one]], kind="stable")]  # a phrase of each kind, by trigger
+    suffix, base = _cut(data, span), np.zeros(len(first), np.int64)
+    done = [np.zeros(0, np.int64)]
+    upto, total = np.cumsum(run[rep]), 0
+    last = np.append(of[rep[1:]] != of[rep[:-1]], True)
     lo = 0
-    while lo < len(ends):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size)))
-        yield lo, hi
-        lo = hi
+    for hi in np.flatnonzero(last) + 1:
+        if hi < len(rep) and upto[hi - 1] - total < AT_ONCE:
+            continue
+        part = rep[lo:hi]
+        k = run[part]
+        base[phrase[part]] = total + np.cumsum(k) - k
+        place = np.repeat(start[part], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        order, begin, group = byte_runs(suffix[place])
+        done.append(np.minimum.reduceat(np.repeat(low[phrase[part]], k)[order], begin)[group])
+        lo, total = hi, int(upto[hi - 1])
+    k = run[several]
+    within = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    at = np.repeat((np.cumsum(run) - run)[several], k) + within
+    out[at] = np.concatenate(done)[np.repeat(base[phrase[several]], k) + within]
+    return out
 
 
 def _pack(ids: np.ndarray) -> tuple:
@@ -229,64 +263,51 @@ def _unpack(packed: tuple) -> np.ndarray:
     return ((high.astype(np.uint64) << np.uint64(16)) | low).view(np.int64)
 
 
-def _send(kind: int, keys: np.ndarray, buckets: int, head, value: np.ndarray, ids: np.ndarray, *flags: np.ndarray):
-    """A message for each bucket: head(keys), each one's value and id, flags."""
-    at = cuts(keys, buckets)
-    for b in range(buckets):
-        if at[b] < at[b + 1]:
-            part = slice(at[b], at[b + 1])
-            yield kind, b, dump(*head(keys[part]), value[part], *[np.packbits(f[part]) for f in flags], _pack(ids[part]))
-
-
-def _split64(keys: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted 64-bit keys: their top 16 bits compress to nothing."""
-    return *split48(keys), (keys & np.uint64(0xFFFF)).astype(np.uint16)
-
-
-def _join64(d: tuple) -> np.ndarray:
-    return (join48(d[0], d[1]) << np.uint64(16)) | d[2].astype(np.uint64)
-
-
-def _bits(data: pd.DataFrame, kind: int, n: int) -> list[np.ndarray]:
-    """The answers of a kind, as arrays of flags: for kind 1 two, else one."""
-    got = answers(data).get(kind, [])
-    flags = 1 + (kind == 1)
-    return [np.concatenate([np.unpackbits(d[f], count=d[-1]).astype(bool) for d in got]) if got else np.zeros(n, bool) for f in range(flags)]
-
-
-def _merge(kind: int, data: list[tuple]) -> list[bytes]:
-    """1: does a trigger have several phrases? If not, is its phrase's smallest document outside the
-    block smaller than the block's own? 2: the latter for phrases; 3: for windows."""
-    ids = np.concatenate([_unpack(d[-1]) for d in data])
-    if kind == 1:
-        group, n, at = runs([join48(d[0], d[1]) for d in data])
-        key = np.concatenate([d[2] for d in data])
-        least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-        most = np.zeros(n, np.uint64)
-        np.minimum.at(least, group, key)
-        np.maximum.at(most, group, key)
-        many = least != most
-        many[group[np.concatenate([np.unpackbits(d[3], count=len(d[2])).astype(bool) for d in data])]] = True
-    else:
-        group, n, at = runs([_join64(d) for d in data])
-        check = np.concatenate([d[3] for d in data])
-        least = np.full(n, np.iinfo(np.uint32).max, np.uint32)
-        most = np.zeros(n, np.uint32)
-        np.minimum.at(least, group, check)
-        np.maximum.at(most, group, check)
-        if (least != most).any():  # equal in 64 bits, not in 96
-            distinct, group = np.unique((group.astype(np.uint64) << np.uint64(32)) | check, return_inverse=True)
-            n = len(distinct)
-        many = np.zeros(n, bool)
-    low = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(low, group, ids)
-    many = many[group]
-    yes = (low[group] < ids) & ~many
-    flags = [many, yes] if kind == 1 else [yes]
-    return [dump(*[np.packbits(f[a:b]) for f in flags], int(b - a)) for a, b in zip(at[:-1], at[1:], strict=True)]
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50) -> DataFrame:
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _expand(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+
+
+class Known(Block):
+    """A block with what it has been told of its triggers."""
+
+    def __init__(self, pdf: pd.DataFrame, got: pd.DataFrame, span: int):
+        super().__init__(pdf, span)
+        told = answers(got)
+        of = np.unique(self.trigger, return_inverse=True)[1]
+        flags = [np.concatenate([np.unpackbits(d[f], count=d[-1]).astype(bool) for d in told.get(1, [])] or [np.zeros(0, bool)]) for f in (0, 1)]
+        shared, hot = (f[of[self.first]] if len(f) else np.zeros(len(self.first), bool) for f in flags)
+        order = np.argsort(self.trigger[self.first], kind="stable")  # distinct phrases by trigger
+        self.own, self.sent, self.hot = (order[on[order]] for on in (~shared, shared & ~hot, hot))
+        self.told = told
+
+    def hot_windows(self):
+        """Distinct windows of hot triggers by hash: their bytes, hashes and smallest documents; which is each window of ``hot``'s phrases."""
+        occ = self.first[self.hot]
+        run = self.length[occ]
+        if not len(run):
+            return np.zeros((0, self.span), np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        size = run + self.span - 1
+        place = np.repeat(np.cumsum(size) - size, run) + np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)
+        rows = _cut(np.frombuffer(self.bytes(occ), np.uint8), self.span)[place]
+        order, begin, group = byte_runs(rows)
+        low = np.minimum.reduceat(np.repeat(self.low[self.hot], run)[order], begin)
+        rows = rows[order[begin]]
+        words = np.zeros((len(rows), -(-self.span // 8) * 8), np.uint8)
+        words[:, : self.span] = rows
+        key = np.zeros(len(rows), np.uint64)
+        for w in words.view("<u8").T:
+            key = mix64(key * np.uint64(_B) + w)
+        by = np.argsort(key, kind="stable")
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        return rows[by], key[by], low[by], back[group]
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, hot: int = 2048) -> DataFrame:
     """(__rid, id_col, n_bytes, spans array<struct<start,end>>, kept binary): what of each text also
     starts, span bytes at a time, in a document with a smaller id."""
     buckets = n_blocks(docs, 3)
@@ -294,80 +315,102 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def parse(pdf: pd.DataFrame):
         b = Block(pdf, span)
-        order = np.lexsort((b.key, b.trigger))
-        trig, key, ids = b.trigger[order], b.key[order], b.ids[b.doc[order]]
-        first = np.ones(len(trig), bool)
-        first[1:] = trig[1:] != trig[:-1]
-        at = np.flatnonzero(first)
-        last = np.append(at[1:], len(trig)) - 1 if len(at) else at
-        low = np.minimum.reduceat(ids, at) if len(at) else ids
-        yield from _send(1, trig[at], buckets, split48, key[at], low, key[at] != key[last])
-
-    def open_phrases(b: Block, got: pd.DataFrame):
-        """Which occurrences are above their phrase's smallest document as far as known; the distinct phrases of triggers with several, which occurrence each is, their smallest documents here."""
-        _, inverse, low = b.least(b.key, b.doc, b.ids)
-        trig, where = np.unique(b.trigger, return_inverse=True)
-        several, outside = _bits(got, 1, len(trig))
-        gone = outside[where] | (b.ids[b.doc] > low[inverse])
-        some = np.flatnonzero(several[where])
-        keys, one, back = np.unique(b.key[some], return_index=True, return_inverse=True)
-        return gone, some, keys, some[one], back, low[inverse[some[one]]]
-
-    def left_phrases(b: Block, got: pd.DataFrame):
-        """Which occurrences are above their phrase's smallest document; which are undecided; a distinct one of each."""
-        gone, some, keys, _, back, _ = open_phrases(b, got)
-        gone[some] |= _bits(got, 2, len(keys))[0][back]
-        left = some[~gone[some]]
-        _, one = np.unique(b.key[left], return_index=True)
-        return gone, left, left[one]
-
-    def rows_of(pdf: pd.DataFrame, sent) -> pd.DataFrame:
-        rows = [(k, c, int(pdf["block"].iloc[0]), d) for k, c, d in sent] if len(pdf) else []
-        return pd.DataFrame(rows, columns=["kind", "bucket", "block", "data"])
-
-    def several(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        b = Block(pdf, span)
-        _, _, keys, one, _, low = open_phrases(b, got)
-        return rows_of(pdf, _send(2, keys, buckets, _split64, b.checks(one), low))
-
-    def undecided(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        b = Block(pdf, span)
-        _, _, ask = left_phrases(b, got)
-        phrase, _, window, check = b.windows(ask, second=True)
-        keys, inverse, low = b.least(window, b.doc[phrase], b.ids)
-        of = np.zeros(len(keys), np.uint32)
-        of[inverse] = check
-        return rows_of(pdf, _send(3, keys, buckets, _split64, of, low))
+        trig, count = np.unique(b.trigger[b.first], return_counts=True)
+        at = cuts(trig, buckets)
+        for c in range(buckets):
+            if at[c] < at[c + 1]:
+                part = slice(at[c], at[c + 1])
+                yield 1, c, dump(*split48(trig[part]), zlib.compress(np.minimum(count[part], 255).astype(np.uint8).tobytes(), 1))
+
+    def meet(_: int, data: list[tuple]) -> list[bytes]:
+        """Is a trigger in several blocks? Has it more than ``hot`` phrases?"""
+        group, n, at = runs([join48(d[0], d[1]) for d in data])
+        many = np.bincount(group, minlength=n) > 1
+        phrases = np.bincount(group, weights=np.concatenate([np.frombuffer(zlib.decompress(d[2]), np.uint8) for d in data]), minlength=n)
+        over = (many & (phrases > hot))[group]
+        return [dump(np.packbits(many[group[x:y]]), np.packbits(over[x:y]), int(y - x)) for x, y in zip(at[:-1], at[1:], strict=True)]
+
+    def ask(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame([], columns=["kind", "bucket", "block", "data"])
+        b = Known(pdf, got, span)
+        block, out = int(pdf["block"].iloc[0]), []
+        occ = b.first[b.sent]
+        at = cuts(b.trigger[occ], buckets)
+        for c in range(buckets):
+            if at[c] < at[c + 1]:
+                part = occ[at[c] : at[c + 1]]
+                out.append((2, c, block, dump(*split48(b.trigger[part]), narrow(b.length[part]), _squeeze(b.bytes(part)), _pack(b.low[b.sent[at[c] : at[c + 1]]]))))
+        rows, key, low, _ = b.hot_windows()
+        at = cuts(key, buckets)
+        for c in range(buckets):
+            if at[c] < at[c + 1]:
+                out.append((3, c, block, dump(_squeeze(rows[at[c] : at[c + 1]].tobytes()), _pack(low[at[c] : at[c + 1]]))))
+        return pd.DataFrame(out, columns=["kind", "bucket", "block", "data"])
 
     def owner(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind = int(pdf["kind"].iloc[0])
-        out = _merge(kind, [tuple(load(d)) for d in pdf["data"]])
-        return pdf[["block", "kind", "bucket"]].assign(data=out)
+        """For each block's phrases, or hot windows: is a window's smallest document below that of the block's phrase?"""
+        data = [load(d) for d in pdf["data"]]
+        ids = [_unpack(d[-1]) for d in data]
+        every = np.concatenate(ids)
+        if pdf["kind"].iloc[0] == 2:
+            run = [d[2].astype(np.int64) for d in data]
+            trigger = np.concatenate([join48(d[0], d[1]) for d in data])
+            low = smallest_documents(trigger, np.concatenate([_expand(d[3]) for d in data]), np.concatenate(run), every, span)
+            below, sizes = low < np.repeat(every, np.concatenate(run)), [int(r.sum()) for r in run]
+        else:
+            order, begin, group = byte_runs(np.concatenate([_expand(d[0]) for d in data]).reshape(-1, span))
+            below, sizes = np.minimum.reduceat(every[order], begin)[group] < every, [len(i) for i in ids]
+        at = np.cumsum([0, *sizes])
+        return pdf[["block", "kind", "bucket"]].assign(data=[dump(np.packbits(below[x:y]), int(y - x)) for x, y in zip(at[:-1], at[1:], strict=True)])
 
     def cover(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        b = Block(pdf, span)
-        gone, left, ask = left_phrases(b, got)
+        if not len(pdf):
+            return pd.DataFrame([], columns=[RID, "id", "n_bytes", "spans", "kept"])
+        b = Known(pdf, got, span)
+        run = b.length[b.first]
+        base = np.cumsum(run) - run
+        below = np.zeros(int(run.sum()), bool)  # for each window of each distinct phrase
+
+        def put(which: np.ndarray, flags: np.ndarray) -> None:
+            k = run[which]
+            below[np.repeat(base[which], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)] = flags
+
+        said = lambda kind: np.concatenate([np.unpackbits(d[0], count=d[1]).astype(bool) for d in b.told.get(kind, [])] or [np.zeros(0, bool)])
+        if len(b.own):  # triggers of this block alone: only those with several phrases can repeat anything
+            t = b.trigger[b.first[b.own]]
+            alike = np.zeros(len(t), bool)
+            alike[1:] |= t[1:] == t[:-1]
+            alike[:-1] |= t[1:] == t[:-1]
+            own = b.own[alike]
+            low = smallest_documents(t[alike], np.frombuffer(b.bytes(b.first[own]), np.uint8), run[own], b.low[own], span)
+            put(own, low < np.repeat(b.low[own], run[own]))
+        put(b.sent, said(2))
+        if len(b.hot):
+            _, _, low, of = b.hot_windows()
+            put(b.hot, said(3)[of] | (low[of] < np.repeat(b.low[b.hot], run[b.hot])))
+
         size = np.array([len(t) for t in b.texts], np.int64) + 1
-        base = np.cumsum(size) - size
+        place = np.cumsum(size) - size
         removed = np.zeros(int(size.sum()) + 1, np.int32)
 
         def mark(doc, start, windows):
-            np.add.at(removed, base[doc] + start, 1)
-            np.add.at(removed, base[doc] + start + windows + span - 1, -1)
-
-        g = np.flatnonzero(gone)
-        mark(b.doc[g], b.at[g], b.length[g])
-        if len(left):
-            phrase, _, window, _ = b.windows(ask)
-            keys, inverse, low = b.least(window, b.doc[phrase], b.ids)
-            (outside,) = _bits(got, 3, len(keys))
-            phrase, offset, window, _ = b.windows(left)
-            at = np.searchsorted(keys, window)
-            hit = outside[at] | (b.ids[b.doc[phrase]] > low[at])
-            mark(b.doc[phrase[hit]], b.at[phrase[hit]] + offset[hit], np.ones(int(hit.sum()), np.int64))
+            np.add.at(removed, place[doc] + start, 1)
+            np.add.at(removed, place[doc] + start + windows + span - 1, -1)
+
+        above = b.ids[b.doc] > b.low[b.phrase]
+        gone = np.flatnonzero(above)
+        mark(b.doc[gone], b.at[gone], b.length[gone])
+        some = np.add.reduceat(below, base) > 0 if len(base) else np.zeros(0, bool)
+        left = np.flatnonzero(~above & some[b.phrase]) if len(base) else np.zeros(0, np.int64)
+        k = b.length[left]
+        offset = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        hit = below[np.repeat(base[b.phrase[left]], k) + offset] if len(left) else np.zeros(0, bool)
+        occ = np.repeat(left, k)[hit]
+        mark(b.doc[occ], b.at[occ] + offset[hit], np.ones(len(occ), np.int64))
         rows = []
         covered = np.cumsum(removed) > 0
-        for rid, i, t, lo in zip(b.rows[RID].to_numpy(), b.ids, b.texts, base, strict=True):
+        for rid, i, t, lo in zip(b.rows[RID].to_numpy(), b.ids, b.texts, place, strict=True):
             on = covered[lo : lo + len(t)]
             edge = np.flatnonzero(np.diff(np.concatenate([[0], on.view(np.int8), [0]])))
             spans = [{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)]
@@ -375,11 +418,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame(rows, columns=[RID, "id", "n_bytes", "spans", "kept"])
 
     by_block = blocks.groupBy("block")
-
-    def ask(step, known: DataFrame) -> DataFrame:
-        asked = by_block.cogroup(known.groupBy("block")).applyInPandas(step, "kind int, bucket int, block long, data binary")
-        return known.union(asked.groupBy("kind", "bucket").applyInPandas(owner, "block long, kind int, bucket int, data binary"))
-
-    known = ask(undecided, ask(several, exchange(blocks, parse, _merge)))
+    known = exchange(blocks, parse, meet)
+    asked = by_block.cogroup(known.groupBy("block")).applyInPandas(ask, "kind int, bucket int, block long, data binary")
+    known = known.union(asked.groupBy("kind", "bucket").applyInPandas(owner, "block long, kind int, bucket int, data binary"))
     final = by_block.cogroup(known.groupBy("block")).applyInPandas(cover, f"{RID} long, id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     return final.select(RID, restore_id("id").alias(id_col), "n_bytes", "spans", "kept")
