@@ -7,19 +7,28 @@
    at the front of its prefix. Where they fill the prefix, the document has no partner. The others
    keep their shared shingles, in the global order.
 3. Documents with the same set become one class; classes with the same prefix and size become one
-   group. Groups are joined on prefix shingles under the size and position bounds.
-4. Of a shingle's groups (by size class) one is the leader; each group is first compared with a few
-   of its shingles' leaders, so that large clusters connect after a linear number of comparisons.
-   The components found are contracted and this is done again with other leaders (``rounds``); a last
-   round compares exactly those member pairs of a shingle that are still in different components.
-   Every pair of documents that could link is thus verified or already connected; nothing is capped.
+   group. A group's prefix, size and positions are its members', so it stands for them wherever
+   candidates are sought: groups meet on prefix shingles under the size and position bounds, and only
+   pairs of groups that pass are expanded to members and verified.
+4. Members are first compared with their group's leader, and each group with a few of its shingles'
+   leaders. A shingle's leader (by size class) is a group with few shingles of its own, that is, near
+   the middle of its cluster, so that large clusters connect after a linear number of comparisons. The
+   components found are contracted and this is done again with other leaders (``rounds``); a group is
+   then split by component. A last round takes all pairs of these units that still are in different
+   components and pass the bounds. Every pair of documents that could link is thus verified or already
+   connected; nothing is capped.
 5. Verification intersects the shared shingles of both documents.
 
+Shingles are counted by the top 48 bits of their hashes. Two that agree there may look shared though
+each occurs once; that only lengthens a prefix. Sets are intersected by all 64 bits.
+
 Results: one row per input row with its set size and the smallest id reachable by links.
 
 Edge cases: null or empty text, or white space alone, has an empty set and no link; fewer words
-than a shingle form one shingle; repeated rows are in one class; a null id counts as larger than
-any other and is returned as null where no other id is reachable; an empty table gives no rows.
+than a shingle form one shingle; very long texts count whole; repeated rows are in one class; ids are
+integers, a null id counts as larger than any other and is returned as null where no other id is
+reachable; an empty table gives no rows; other columns are ignored or, by ``keep_one``, kept, whatever
+their names (but ``__rid``).
 """
 
 from __future__ import annotations
@@ -32,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, RID, answers, components, cuts, dump, exchange, join48, load, materialise, mix64, n_blocks, narrow, restore_id, runs, split48, to_blocks, with_rid
+from .common import NULL_ID, RID, answers, components, cuts, dump, exchange, join48, load, materialise, mix64, n_blocks, narrow, restore_id, runs, split48, stored, to_blocks, with_rid
 
 _M = np.uint64(0xD6E8FEB86659FD93)
 
@@ -130,9 +139,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m").mapInPandas(check, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, leaders: int = 3, rounds: int = 3) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, leaders: int = 3, rounds: int = 2) -> DataFrame:
     """(__rid, id_col, n_shingles, component_id, component_rid): near-duplicate classes at Jaccard >=
     num/den. component_rid names the component by a row number, whatever the ids."""
+    docs = stored(docs)
     blocks = to_blocks(docs, id_col, text_col, n_blocks(docs, 2))
     every = materialise(shared_sets(blocks, n_blocks(docs, 4), shingle, num, den), "sets")
     classes = every.where("toks is not null").groupBy("sig").agg(F.min(RID).alias("node"), F.min("id").alias("low"))
@@ -153,11 +163,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     front = materialise(sets.mapInPandas(prefixes, "node long, n long, alone long, grp binary, front array<long>"), "prefixes")
     groups = front.groupBy("grp").agg(F.min("node").alias("leader"))
     within = front.join(groups, "grp").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    heads = front.join(groups.select("leader"), F.col("node") == F.col("leader"), "left_semi")
+
+    def members(found: DataFrame | None) -> DataFrame:
+        """Every node with its component and its unit: the smallest node of its group in its component."""
+        nodes = front.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if found is not None else front.join(groups, "grp").withColumn("comp", F.col("leader")).drop("leader")
+        return nodes.join(nodes.groupBy("grp", "comp").agg(F.min("node").alias("unit"), F.count("*").alias("size")), ["grp", "comp"])
 
     def spread(nodes: DataFrame) -> DataFrame:
-        """A row for each shared prefix shingle, with its place in the document's order."""
-        return nodes.select("node", "n", "alone", F.posexplode("front").alias("p", "tok")).select("tok", "node", "n", (F.col("p") + F.col("alone")).alias("pos"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).alias("cls"))
+        """A row for each unit and shared prefix shingle, with its place in the unit's order."""
+        units = nodes.where("node = unit").select("unit", "size", "comp", "n", "alone", F.posexplode("front").alias("p", "tok"))
+        return units.select("tok", "unit", "size", "comp", "n", "alone", (F.col("p") + F.col("alone")).alias("pos"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).alias("cls"))
 
     def bound(n1, p1, n2, p2):
         """Can two sets reach the threshold if their first common shingle is at these places?"""
@@ -166,41 +181,45 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return (small * den >= big * num) & (most * (num + den) >= (n1 + n2) * num)
 
     def starred(rows: DataFrame, seed: int) -> DataFrame:
-        """Of each shingle and size class one leader; (a, b) of each node with the first few of its
+        """Of each shingle and size class one leader; (a, b) of each unit with the first few of its
         shingles' leaders that are in another component and within the bounds."""
-        lead = rows.groupBy("tok", "cls").agg(F.min(F.struct(F.hash("node", F.lit(seed)).alias("h"), "node", "n", "pos", "comp")).alias("l"))
-        lead = lead.select("tok", "cls", "l.h", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.pos").alias("q"), F.col("l.comp").alias("comp2"))
+        centre = F.struct(F.floor(F.log2(F.col("alone") + 1.0)).alias("own"), F.hash("unit", F.lit(seed)).alias("h"), "unit", "n", "pos", "comp")
+        lead = rows.groupBy("tok", "cls").agg(F.min(centre).alias("l"))
+        lead = lead.select("tok", "cls", "l.h", F.col("l.unit").alias("b"), F.col("l.n").alias("m"), F.col("l.pos").alias("q"), F.col("l.comp").alias("comp2"))
         met = rows.join(lead, ["tok", "cls"]).where("comp <> comp2").where(bound(F.col("n"), F.col("pos"), F.col("m"), F.col("q")))
-        near = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_set(F.struct("h", "b"))), 1, leaders).alias("l"))
-        return near.select(F.col("node").alias("a"), F.explode("l").alias("l")).select("a", F.col("l.b").alias("b"))
+        near = met.groupBy("unit").agg(F.slice(F.sort_array(F.collect_set(F.struct("h", "b"))), 1, leaders).alias("l"))
+        return near.select(F.col("unit").alias("a"), F.explode("l").alias("l")).select("a", F.col("l.b").alias("b"))
 
-    def opened(found: DataFrame) -> DataFrame:
-        """Prefix shingles that stand in several components, with each node's."""
-        tagged = spread(front).join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    def opened(nodes: DataFrame) -> DataFrame:
+        """Prefix shingles that stand in several components, with each unit's."""
+        tagged = spread(nodes)
         several = tagged.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tok")
         return materialise(tagged.join(several, "tok"), "open")
 
     ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    compared = materialise(ordered(starred(spread(heads).withColumn("comp", F.col("node")), 0).union(within)), "star")
+    compared = materialise(ordered(starred(spread(members(None)), 0).union(within)), "star")
     links = materialise(_verified(compared, sets, num, den), "links")
     found = components(links)
     for seed in range(1, rounds):
-        more = materialise(ordered(starred(opened(found), seed)).join(compared, ["a", "b"], "left_anti"), "star")
+        more = materialise(ordered(starred(opened(members(found)), seed)).join(compared, ["a", "b"], "left_anti"), "star")
         if more.isEmpty():
             continue
         compared = compared.union(more)
         links = materialise(links.union(_verified(more, sets, num, den)), "links")
         found = components(links)
 
-    # what is left: pairs with a common prefix shingle in different components. A shingle's largest
-    # component is never paired with itself.
-    tagged = opened(found)
+    # what is left: pairs of units with a common prefix shingle in different components. A shingle's
+    # largest component is never paired with itself.
+    nodes = materialise(members(found).select("node", "unit", "size", "comp", "n", "alone", "front"), "members")
+    tagged = opened(nodes)
     sizes = tagged.groupBy("tok", "comp").agg(F.count("*").alias("k"))
     major = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
-    every_node = tagged.join(major, "tok")
-    minor = every_node.where("comp <> major").select("tok", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("comp").alias("comp2"))
-    both = every_node.join(minor, "tok").where("comp <> comp2").where(bound(F.col("n"), F.col("pos"), F.col("m"), F.col("q")))
-    rest = both.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
+    unit = tagged.join(major, "tok")
+    minor = unit.where("comp <> major").select("tok", F.col("unit").alias("unit2"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("comp").alias("comp2"))
+    both = unit.join(minor, "tok").where("comp <> comp2").where(bound(F.col("n"), F.col("pos"), F.col("m"), F.col("q")))
+    both = both.select(F.least("unit", "unit2").alias("u"), F.greatest("unit", "unit2").alias("v")).distinct()
+    of = nodes.select("unit", "node")
+    rest = both.join(of.toDF("u", "x"), "u").join(of.toDF("v", "y"), "v").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(compared, ["a", "b"], "left_anti")
     more = materialise(_verified(rest, sets, num, den), "links")
     if not more.isEmpty():
         found = components(links.union(more))
@@ -215,6 +234,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but the smallest id (then row) of each near-duplicate component."""
+    docs = stored(docs)
     rows = jaccard_components(docs, id_col, text_col)
     first = rows.groupBy("component_rid").agg(F.min(F.struct(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("i"), RID)).alias("m")).select(F.col(f"m.{RID}").alias(RID))
     return with_rid(docs).join(first, RID, "left_semi").drop(RID)

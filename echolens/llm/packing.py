@@ -86,7 +86,7 @@ def _learn(words: list[str], limit: int) -> dict[str, bytes]:
     return out
 
 
-def encode(texts: list[str], path: str, limit: int = 400_000) -> list[bytes]:
+def encode(texts: list[str], path: str, limit: int = 100_000) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit, through bounded caches of words and pieces.
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids laid
     end to end; the few texts with control characters or special tokens go through it whole."""
