@@ -34,8 +34,10 @@ RID = "__rid"
 def scratch_dir(spark: SparkSession) -> str:
     """The folder for tables that cut lineage: spark.checkpoint.dir, or our own where it is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
+    if not base and spark.sparkContext.master.startswith("local["):  # one machine
         base = "file://" + tempfile.mkdtemp(prefix="scratch-")
+    elif not base:  # the warehouse is shared as well
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
@@ -57,6 +59,22 @@ def materialise(df: DataFrame, name: str = "t", compression: str = "zstd") -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+_PLAIN = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation", "DataSourceV2Relation", "LocalRelation", "LogicalRDD"}
+
+
+def stored(df: DataFrame, name: str = "input") -> DataFrame:
+    """df if it is a scan with projections and filters, which gives the same rows in the same order each
+    time; else a stored copy, so that row numbers of several scans agree."""
+    nodes = [df._jdf.queryExecution().analyzed()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() not in _PLAIN and not node.nodeName().startswith("Relation"):
+            return materialise(df, name)
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
+    return df
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a scan; only used to choose how many blocks to cut."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

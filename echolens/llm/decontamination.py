@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, col_of, materialise, with_rid
+from .common import RID, col_of, materialise, stored, with_rid
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -76,6 +76,7 @@ def _hit_grams(words: Column, length: int) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, gram: int = 7, share: int = 20, broadcast_rows: int = 2_000_000) -> DataFrame:
     """(__rid, id_col, n_words, n_hit, n_items, items array<string>, contaminated, passage) per document.
     contaminated: n_hit > 0 and share * n_hit >= n_words; passage: a window of full length occurs."""
+    docs = stored(docs)
     items = benchmark.select(col_of(benchmark, item_col).cast("string").alias("item"), words_of(col_of(benchmark, item_text)).alias("w")).where("size(w) > 0")
     cut = F.when(F.size("w") < window, F.array("w")).otherwise(F.transform(_places(F.col("w"), window), lambda i: F.slice("w", i, window)))
     spans = items.select("item", F.explode(cut).alias("key")).groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
@@ -134,5 +135,6 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Dat
     """docs with all their columns, without those that are contaminated or hold a passage of a benchmark
     item of the full window's length, however small a share of their words it is. A hit by an item of
     fewer words, which ordinary text can hold by chance, only counts by its share."""
+    docs = stored(docs)
     bad = contamination(docs, benchmark, **options).where("contaminated or passage").select(RID)
     return with_rid(docs).join(bad, RID, "left_anti").drop(RID)

@@ -9,8 +9,11 @@ embedded media, carved as (format, start, end). Objects inside a carved one are
 ``store`` wraps a payload losslessly as 8-bit PCM samples in a WAVE container and ``unpack`` reads the
 stored samples back through the sniffer, from the place the validator found.
 
-Edge cases: null or empty blobs are of type "empty"; blobs of any length are read whole; truncated
-structures are rejected; equal blobs give equal values.
+End markers are looked for once a blob, so that false magic bytes cost no second pass over it.
+
+Edge cases: null or empty blobs are of type "empty"; a null text is an empty one; blobs of any length
+are read whole; truncated structures are rejected; equal blobs give equal values; ids are of any type;
+an empty table gives no rows; other columns are ignored or, by ``inspect_column``, kept.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import RID, col_of, with_rid
 
 
-def _riff(b: bytes, at: int) -> tuple[int, dict] | None:
+def _riff(b: bytes, at: int, marks: Marks) -> tuple[int, dict] | None:
     if len(b) < at + 12:
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -50,7 +53,7 @@ def _riff(b: bytes, at: int) -> tuple[int, dict] | None:
     return end, info
 
 
-def _png(b: bytes, at: int) -> tuple[int, dict] | None:
+def _png(b: bytes, at: int, marks: Marks) -> tuple[int, dict] | None:
     p, info = at + 8, {"type": "png"}
     while p + 12 <= len(b):
         n, name = struct.unpack_from(">I", b, p)[0], b[p + 4 : p + 8]
@@ -66,7 +69,7 @@ def _png(b: bytes, at: int) -> tuple[int, dict] | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> tuple[int, dict] | None:
+def _gif(b: bytes, at: int, marks: Marks) -> tuple[int, dict] | None:
     if len(b) < at + 13:
         return None
     w, h, flags = struct.unpack_from("<HHB", b, at + 6)
@@ -90,7 +93,7 @@ def _gif(b: bytes, at: int) -> tuple[int, dict] | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> tuple[int, dict] | None:
+def _jpeg(b: bytes, at: int, marks: Marks) -> tuple[int, dict] | None:
     p, frame = at + 2, False
     while p + 4 <= len(b) and b[p] == 0xFF:
         kind = b[p + 1]
@@ -100,6 +103,8 @@ def _jpeg(b: bytes, at: int) -> tuple[int, dict] | None:
         frame |= 0xC0 <= kind <= 0xC2
         p += 2 + n
         if kind == 0xDA:
+            if not frame or marks.next(b"\xff\xd9", p) < 0:
+                return None
             while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b):
                 if b[p + 1] == 0xD9:
                     return (p + 2, {"type": "jpeg"}) if frame else None
@@ -111,7 +116,7 @@ def _jpeg(b: bytes, at: int) -> tuple[int, dict] | None:
     return None
 
 
-def _bmp(b: bytes, at: int) -> tuple[int, dict] | None:
+def _bmp(b: bytes, at: int, marks: Marks) -> tuple[int, dict] | None:
     if len(b) < at + 30:
         return None
     size, _, off, head, w, h, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -120,47 +125,74 @@ def _bmp(b: bytes, at: int) -> tuple[int, dict] | None:
     return at + size, {"type": "bmp", "size": (w, abs(h))}
 
 
-def _zip(b: bytes, at: int) -> tuple[int, dict] | None:
-    p = b.find(b"PK\x05\x06", at)
-    while p >= 0 and p + 22 <= len(b):
-        n, size, off, note = struct.unpack_from("<HIIH", b, p + 10)
-        if at + off + size == p and p + 22 + note <= len(b) and (not n or b[at + off : at + off + 4] == b"PK\x01\x02"):
-            return p + 22 + note, {"type": "zip"}
-        p = b.find(b"PK\x05\x06", p + 4)
-    return None
+class Marks:
+    """Where end markers stand in a blob: each is looked for once, however many objects ask."""
+
+    def __init__(self, b: bytes):
+        self.b, self.seen, self.zips = b, {}, None
+
+    def next(self, mark: bytes, at: int) -> int:
+        lo, pos = self.seen.get(mark, (at + 1, 0))
+        if lo > at or -1 < pos < at:
+            lo, pos = at, self.b.find(mark, at)
+            self.seen[mark] = lo, pos
+        return pos
 
+    def archives(self) -> dict[int, int]:
+        """Where archives begin, by their end records, and where each ends."""
+        if self.zips is None:
+            b, p, self.zips = self.b, self.b.find(b"PK\x05\x06"), {}
+            while p >= 0 and p + 22 <= len(b):
+                n, size, off, note = struct.unpack_from("<HIIH", b, p + 10)
+                at = p - off - size
+                if at >= 0 and p + 22 + note <= len(b) and (not n or b[at + off : at + off + 4] == b"PK\x01\x02"):
+                    self.zips.setdefault(at, p + 22 + note)
+                p = b.find(b"PK\x05\x06", p + 4)
+        return self.zips
 
-def _gzip(b: bytes, at: int) -> tuple[int, dict] | None:
-    z = zlib.decompressobj(31)
+
+def _zip(b: bytes, at: int, marks: Marks) -> tuple[int, dict] | None:
+    end = marks.archives().get(at)
+    return (end, {"type": "zip"}) if end else None
+
+
+def _gzip(b: bytes, at: int, marks: Marks) -> tuple[int, dict] | None:
+    if at + 18 > len(b) or b[at + 3] & 0xE0 or b[at + 8] not in (0, 2, 4) or (b[at + 9] > 13 and b[at + 9] != 255):
+        return None
+    z, p = zlib.decompressobj(31), at
     try:
-        rest = b[at:]
-        while rest and not z.eof:
-            z.decompress(rest, 1 << 20)
-            rest = z.unconsumed_tail
+        while p < len(b) and not z.eof:
+            piece = b[p : p + (1 << 16)]
+            p += len(piece)
+            while piece and not z.eof:
+                z.decompress(piece, 1 << 20)
+                piece = z.unconsumed_tail
     except zlib.error:
         return None
-    return (len(b) - len(z.unused_data), {"type": "gzip"}) if z.eof else None
+    return (p - len(z.unused_data), {"type": "gzip"}) if z.eof else None
 
 
-def _pdf(b: bytes, at: int) -> tuple[int, dict] | None:
-    end = b.find(b"%%EOF", at)
-    return (end + 5, {"type": "pdf"}) if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+def _pdf(b: bytes, at: int, marks: Marks) -> tuple[int, dict] | None:
+    end = marks.next(b"%%EOF", at)
+    return (end + 5, {"type": "pdf"}) if end >= 0 and -1 < marks.next(b"startxref", at) < end else None
 
 
-def _flac(b: bytes, at: int) -> tuple[int, dict] | None:
+def _flac(b: bytes, at: int, marks: Marks) -> tuple[int, dict] | None:
+    """Frames have no total length: from a frame after the metadata to the blob's end."""
     p = at + 4
     while p + 4 <= len(b):
         n = int.from_bytes(b[p + 1 : p + 4], "big")
         if p == at + 4 and (b[p] & 127 or n != 34) or p + 4 + n > len(b):
             return None
         if b[p] & 128:
-            return len(b), {"type": "flac"}  # frames have no total length: to the blob's end
+            frame = b[p + 4 + n : p + 6 + n]
+            return (len(b), {"type": "flac"}) if frame in (b"\xff\xf8", b"\xff\xf9") else None
         p += 4 + n
     return None
 
 
 #: The formats' magic bytes.
-MAGIC: dict[bytes, Callable[[bytes, int], tuple[int, dict] | None]] = {
+MAGIC: dict[bytes, Callable[[bytes, int, Marks], tuple[int, dict] | None]] = {
     b"RIFF": _riff,
     b"\x89PNG\r\n\x1a\n": _png,
     b"GIF87a": _gif,
@@ -187,10 +219,10 @@ def _automaton():
 
 def sniff(blob: bytes) -> list[tuple[int, int, dict]]:
     """Confirmed outermost objects (start, end, structure) in order."""
-    out, upto = [], 0
+    out, upto, marks = [], 0, Marks(blob)
     for last, magic in _automaton().iter(blob.decode("latin-1")):
         at = last - len(magic) + 1
-        if at >= upto and (got := MAGIC[magic](blob, at)):
+        if at >= upto and (got := MAGIC[magic](blob, at, marks)):
             out.append((at, got[0], got[1]))
             upto = got[0]
     return out
@@ -254,7 +286,7 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInPandas(run, f"{RID} long, i string, n_bytes long, media binary")
 
 
-def read_back(stored: DataFrame, id_type: str = "long", id_col: str = "doc_id", unit: int = 64) -> DataFrame:
+def read_back(stored: DataFrame, id_type="long", id_col: str = "doc_id", unit: int = 64) -> DataFrame:
     """Digests of the stored form and of what is read from it, and the sniffer's findings."""
 
     def run(batches):

@@ -96,7 +96,8 @@ def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_back(media.stored_texts(table(spark, sf_dir, "documents"))).drop(RID)
+    docs = table(spark, sf_dir, "documents")
+    return media.read_back(media.stored_texts(docs), docs.schema["doc_id"].dataType).drop(RID)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +128,7 @@ def _op4_sql() -> str:
     return f"""
 WITH caps AS (
   SELECT page_id, url, {_DAY.format(_NUMBER.format("CAST(page_id AS VARCHAR)") + " % 730")} AS fetched,
-    regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '\\.+$', '') AS host,
+    regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^]/?#]*\\]|[^/?#:@]*)', 1)), '\\.+$', '') AS host,
     list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'), lambda x: x <> '') AS parts
   FROM pages),
 hosts AS (SELECT DISTINCT host, {_NUMBER.format("host")} AS u FROM caps WHERE host <> ''),
@@ -138,7 +139,7 @@ entered AS (
   SELECT c.page_id, e.list, e.verdict, e.key, k.rank, max_by(e.action, e.ts) AS action,
     max(e.ts) FILTER (e.action = 'remove') AS gone, list(e.ts) FILTER (e.action = 'add') AS adds
   FROM caps c
-  JOIN (SELECT page_id, unnest(range(1, len(string_split(host, '.')) + 1)) AS rank, host AS h FROM caps WHERE host <> '') k0 USING (page_id)
+  JOIN (SELECT page_id, unnest(range(CASE WHEN regexp_full_match(host, '[0-9]+(\\.[0-9]+){{3}}|\\[.*') THEN len(string_split(host, '.')) ELSE 1 END, len(string_split(host, '.')) + 1)) AS rank, host AS h FROM caps WHERE host <> '') k0 USING (page_id)
   JOIN LATERAL (SELECT array_to_string(string_split(k0.h, '.')[-k0.rank:], '.') AS key, k0.rank AS rank) k ON true
   JOIN ev e ON e.key = k.key AND e.ts <= c.fetched
   GROUP BY ALL
@@ -170,8 +171,8 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS
 """,
     "op3_suffix_dedup": """
 WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-c AS MATERIALIZED (SELECT doc_id, at, substr(h, 2 * at + 1, 898) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 400)) AS at FROM d)),
-w AS MATERIALIZED (SELECT doc_id, at + i AS i, md5(substr(h, 2 * i - 1, 100)) AS k FROM (SELECT doc_id, at, h, unnest(range(1, len(h) // 2 - 48)) AS i FROM c)),
+c AS MATERIALIZED (SELECT doc_id, lo, substr(h, 2 * lo + 1, 898) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 400)) AS lo FROM d)),
+w AS MATERIALIZED (SELECT doc_id, lo + i AS i, md5(substr(h, 2 * i - 1, 100)) AS k FROM (SELECT doc_id, lo, h, unnest(range(1, len(h) // 2 - 48)) AS i FROM c)),
 m AS (SELECT k, min(doc_id) AS first_id FROM w GROUP BY k HAVING count(*) > 1),
 hit AS (SELECT DISTINCT doc_id, i FROM w JOIN m USING (k) WHERE first_id < doc_id),
 new AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens FROM hit),

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, answers, cuts, dump, exchange, join48, load, mix64, n_blocks, narrow, restore_id, runs, split48, to_blocks
+from .common import RID, answers, cuts, dump, exchange, join48, load, mix64, n_blocks, narrow, restore_id, runs, split48, stored, to_blocks
 
 GRAM = 24
 TILE = 1 << 17
@@ -310,6 +310,7 @@ class Known(Block):
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, hot: int = 2048) -> DataFrame:
     """(__rid, id_col, n_bytes, spans array<struct<start,end>>, kept binary): what of each text also
     starts, span bytes at a time, in a document with a smaller id."""
+    docs = stored(docs)
     buckets = n_blocks(docs, 3)
     blocks = to_blocks(docs, id_col, text_col, n_blocks(docs, 2))
 

@@ -11,8 +11,10 @@ whatever the number of edits, and the interval active at the fetch time is picke
 list. Lists are broadcast only while their keys are below ``broadcast_rows``; beyond it captures
 are first reduced to distinct (key, fetch time) pairs, which collapses a hot host, and joined by shuffle.
 
-Edge cases: a null, empty or malformed url offers no key and is kept; a null fetch time matches
-nothing; entries with null key, time or action are ignored; repeated rows are answered row by row.
+Edge cases: a null, empty or malformed url offers no key and is kept; a host that is an IPv4 or
+bracketed IPv6 address offers itself alone; a null fetch time matches nothing; entries with null key,
+time or action are ignored; repeated rows are answered row by row; an empty list blocks nothing, an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import RID, col_of, materialise, with_rid
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)"
+#: Hosts that are addresses: nothing stands above them.
+ADDRESS = r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*)$"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)"
 
 
@@ -34,7 +38,8 @@ def keys_of(url: Column, depth: int = 4) -> Column:
     """(key, rank): the domains above the host and the host itself by labels, then path prefixes."""
     host = host_of(url)
     labels = F.split(host, r"\.")
-    up = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.array_join(F.slice(labels, -i, i), ".").alias("key"), i.alias("rank")))
+    top = F.when(host.rlike(ADDRESS), F.size(labels)).otherwise(F.lit(1))
+    up = F.transform(F.sequence(top, F.size(labels)), lambda i: F.struct(F.array_join(F.slice(labels, -i, i), ".").alias("key"), i.alias("rank")))
     parts = F.slice(F.array_remove(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1), "/"), ""), 1, depth)
     down = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")).alias("key"), (i + 100).alias("rank"))))
     none = F.array().cast("array<struct<key: string, rank: int>>")
