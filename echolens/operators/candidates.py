@@ -5,63 +5,94 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tiles import hamming
+from ..functions.tiles import distance, let
+
+
+def classes(df: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """(key, n, first_id) of rows with the same digest; null digests are in no class."""
+    return df.select(F.col(id_col).alias("id"), key.alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 def exact_pairs(df: DataFrame, id_col: str, key: Column) -> DataFrame:
-    """Pairs of rows with the same digest."""
-    k = df.select(F.col(id_col).alias("id"), key.alias("key"))
-    return k.alias("a").join(k.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"))
+    """(id1, id2, n): every row of a class of equal digests with the class's smallest id. A class of n
+    rows gives n - 1 pairs that connect it, not n * (n - 1) / 2."""
+    k = df.select(F.col(id_col).alias("id2"), key.alias("key"))
+    return k.join(classes(df, id_col, key).where("n > 1"), "key").where("id2 > first_id").select(F.col("first_id").alias("id1"), "id2", "n")
 
 
-def bands(h: Column, bits: int, count: int) -> Column:
-    """The bits of h in ``count`` slices, as structs (band, value)."""
-    cut = [bits * k // count for k in range(count + 1)]
-    return F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(h, a).bitwiseAND((1 << (b - a)) - 1).alias("value")) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False))])
+def agreement(df: DataFrame, predicted: Column, truth: Column) -> DataFrame:
+    """(tp, fp, fn): pairs of rows that two partitions put together, counted from the sizes of their
+    classes and of the classes' intersections, without any pair."""
+    pairs = lambda c: F.coalesce(F.sum(F.col(c) * (F.col(c) - 1) / 2), F.lit(0.0))
+    cells = df.select(predicted.alias("p"), truth.alias("t")).groupBy("p", "t").agg(F.count("*").alias("n"))
+    both = cells.agg(pairs("n").alias("tp"))
+    side = lambda c, name: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(pairs("n").alias(name))
+    one = both.crossJoin(side("p", "pp")).crossJoin(side("t", "tt"))  # a row on every side
+    return one.selectExpr("CAST(tp AS BIGINT) AS tp", "CAST(pp - tp AS BIGINT) AS fp", "CAST(tt - tp AS BIGINT) AS fn")
 
 
-def hamming_pairs(df: DataFrame, other: DataFrame, limit: int, bits: int, min_band: int = 4) -> DataFrame:
-    """(id1, id2, dist) with dist <= limit between df(id, h) and other(id, h), id1 < id2.
+def near_pairs(df: DataFrame, other: DataFrame, limit: int, bits: int, words: int = 2, *more: str) -> DataFrame:
+    """(id1, id2, dist, more of other) with dist <= limit between df(id, h) and other(id, h, more), id1 < id2;
+    h: ``words`` words of ``bits`` bits, as array<bigint>.
 
     Two hashes within the limit agree in one of limit + 1 bands, so an equi-join on (band, value) is
-    exact; where bands would get too narrow to select, hashes are compared in a bit_count join.
+    exact. A pair comes out of the first band that it agrees in, so nothing needs to be made distinct.
     """
-    a, b = df.select(F.col("id").alias("id1"), F.col("h").alias("h1")), other.select(F.col("id").alias("id2"), F.col("h").alias("h2"))
-    near = hamming(F.col("h1"), F.col("h2")) <= limit
-    if bits // (limit + 1) >= min_band:
-        a = a.withColumn("k", F.explode(bands(F.col("h1"), bits, limit + 1)))
-        b = b.withColumn("k2", F.explode(bands(F.col("h2"), bits, limit + 1)))
-        pairs = a.join(b, (F.col("k") == F.col("k2")) & (F.col("id1") < F.col("id2")) & near).drop("k", "k2").distinct()
-    else:
-        pairs = a.join(b, (F.col("id1") < F.col("id2")) & near)
-    return pairs.select("id1", "id2", hamming(F.col("h1"), F.col("h2")).alias("dist"))
-
-
-def bucket_pairs(rows: DataFrame, low: int, high: int) -> DataFrame:
-    """(id1, id2, shared): pairs that share a key (rows id, key), by buckets of low..high rows."""
-    sized = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(low, high)).select("key")
+    count = -(-(limit + 1) // words)
+    cut = [bits * k // count for k in range(count + 1)]
+    place = [(w, a, b) for w in range(words) for a, b in zip(cut, cut[1:], strict=False)]
+    value = lambda h, w, a, b: F.shiftrightunsigned(h[w], a).bitwiseAND((1 << (b - a)) - 1)
+    banded = lambda h: F.posexplode(F.array(*[value(F.col(h), *p) for p in place])).alias("band", "v")
+    a = df.select(F.col("id").alias("id1"), F.col("h").alias("h1"), banded("h"))
+    b = other.select(F.col("id").alias("id2"), F.col("h").alias("h2"), *more, banded("h"))
+    first = F.lit(len(place))
+    for k, p in reversed(list(enumerate(place))):
+        first = F.when(value(F.col("h1"), *p) == value(F.col("h2"), *p), k).otherwise(first)
+    met = a.join(b, ["band", "v"]).where((F.col("id1") < F.col("id2")) & (F.col("band") == first))
+    return met.withColumn("dist", distance(F.col("h1"), F.col("h2"))).where(F.col("dist") <= limit).select("id1", "id2", "dist", *more)
+
+
+def bucket_pairs(rows: DataFrame, low: int, high: int, finer: str | None = None) -> DataFrame:
+    """(id1, id2, shared): pairs that share a key (rows id, key), by buckets of low..high rows. Larger
+    buckets are stop words and go, unless a column ``finer`` splits them: then they are keyed by both,
+    and what is still larger goes."""
+    sized = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= low)
     kept = rows.join(sized, "key")
+    if finer:
+        kept = kept.withColumn("key", F.when(F.col("n") > high, F.struct(F.col("key").cast("string").alias("k"), F.col(finer).alias("f"))).otherwise(F.struct(F.col("key").cast("string").alias("k"), F.lit(None).cast(rows.schema[finer].dataType).alias("f"))))
+        again = kept.where(F.col("n") > high).groupBy("key").agg(F.count("*").alias("m")).where(F.col("m").between(low, high)).select("key")
+        kept = kept.where(F.col("n") <= high).select("id", "key").union(kept.where(F.col("n") > high).join(again, "key", "left_semi").select("id", "key"))
+    else:
+        kept = kept.where(F.col("n") <= high)
     a, b = kept.select("key", F.col("id").alias("id1")), kept.select("key", F.col("id").alias("id2"))
     return a.join(b, "key").where("id1 < id2").groupBy("id1", "id2").agg(F.count("*").alias("shared"))
 
 
-def lsh_keys(tile: Column, planes: list[list[int]], per_table: int) -> Column:
-    """Signs of integer projections, per_table to a key."""
-    sign = [F.aggregate(F.zip_with(tile, F.array(*[F.lit(float(w)) for w in p]), lambda x, w: F.round(x.cast("double") * 1000000) * w), F.lit(0.0), lambda s, x: s + x) > 0 for p in planes]
-    keys = []
-    for t in range(len(planes) // per_table):
-        v = F.lit(0)
-        for k in range(per_table):
-            v = v + sign[t * per_table + k].cast("int") * (1 << k)
-        keys.append(F.concat(F.lit(f"{t}:"), v.cast("string")))
-    return F.array(*keys)
+def lsh_rows(tiles: DataFrame, planes: list[list[int]], tables: int, per_table: int) -> DataFrame:
+    """(id, key, finer): for each table, the signs of its integer projections as one number, and those
+    of the table's further planes. planes: the tables' planes one after the other, then the further ones."""
+    every = F.from_json(F.lit(str(planes)), "array<array<int>>")  # a constant: folded once
+    side = lambda r, p: F.aggregate(F.zip_with(r, p, lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x) > 0
+    dots = let(F.transform("e", lambda x: F.round(x * 1000000)), lambda r: F.transform(every, lambda p: side(r, p)))
 
+    def number(t, first: int):
+        return F.aggregate(F.sequence(F.lit(0), F.lit(per_table - 1)), F.lit(0).cast("bigint"), lambda s, k: s + F.when(F.col("s")[(t * per_table + k + first).cast("int")], F.pow(F.lit(2), k).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
 
-def area_pairs(df: DataFrame, ratio: float, cap: int) -> DataFrame:
-    """(id1, id2) with area2 >= ratio * area1 among the ``cap`` with the smallest (area1, id1, area2, id2).
+    signs = tiles.select("id", dots.alias("s")).select("id", "s", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t"))
+    return signs.select("id", (F.col("t") * 65536 + number(F.col("t"), 0)).alias("key"), number(F.col("t"), tables * per_table).alias("finer"))
 
-    The cap is the feature. Only ids that can be among the first ``cap`` pairs matter: the smallest
-    areas, so both sides are top-k lists before the join."""
-    small = df.orderBy("area", "id").limit(cap)
-    a, b = small.select(F.col("id").alias("id1"), F.col("area").alias("a1")), df.select(F.col("id").alias("id2"), F.col("area").alias("a2"))
-    return a.join(b, F.col("a2") >= F.col("a1") * ratio).orderBy("a1", "id1", "a2", "id2").limit(cap).select("id1", "id2", "a1", "a2")
+
+def area_pairs(df: DataFrame, ratio: float, cap: int) -> DataFrame:
+    """(id1, id2) with area2 >= ratio * area1 among the ``cap`` with the smallest (area1, id1, area2, id2);
+    rows without an area are in no pair.
+
+    The cap is the feature. A pair's smaller side is among the first ``cap`` rows by area, and of each
+    such row's partners only its first ``cap`` can be wanted: those from the first area that is large
+    enough, which are sought among the ``cap`` rows by area from there on."""
+    known = df.where("area is not null and id is not null")
+    small = known.orderBy("area", "id").limit(cap)
+    least = small.agg(F.min("area") * ratio).first()[0]
+    big = known.where(F.col("area") >= F.lit(least)).orderBy("area", "id").limit(cap) if least is not None else known.limit(0)
+    # partners of the smallest row fill the list alone unless there are fewer than the cap; then ``big`` is all of them
+    a, b = small.select(F.col("id").alias("id1"), F.col("area").alias("a1")), big.select(F.col("id").alias("id2"), F.col("area").alias("a2"))
+    return a.join(F.broadcast(b), F.col("a2") >= F.col("a1") * ratio).orderBy("a1", "id1", "a2", "id2").limit(cap).select("id1", "id2", "a1", "a2")

@@ -46,8 +46,27 @@ def precision_recall(predicted: DataFrame, truth: DataFrame, ignored: DataFrame
         predicted = predicted.join(ignored, ["id1", "id2"], "left_anti")
     both = predicted.select("id1", "id2", F.lit(1).alias("p")).join(truth.select("id1", "id2", F.lit(1).alias("t")), ["id1", "id2"], "full")
     n = both.agg(F.count_if((F.col("p") == 1) & (F.col("t") == 1)).alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+    return scores(n)
+
+
+def scores(counts: DataFrame) -> DataFrame:
+    """tp, fp, fn with precision, recall and F1; nothing over nothing is 0."""
     tp, p, r = F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")
-    return n.select("tp", "fp", "fn", ratio(tp, p).alias("prec"), ratio(tp, r).alias("recall"), ratio(2 * tp, p + r).alias("f1"))
+    return counts.select("tp", "fp", "fn", ratio(tp, p).alias("prec"), ratio(tp, r).alias("recall"), ratio(2 * tp, p + r).alias("f1"))
+
+
+def region_scores(true: DataFrame, found: DataFrame, group: str, least: float = 0.5) -> DataFrame:
+    """(tp, fp, fn, mean_iou, median_error) of found boxes (group, id, bx, by, bw, bh) against one true
+    box a group (group, ax, ay, aw, ah)."""
+    from ..functions.tiles import iou
+
+    j = true.join(found, group, "left").withColumn("iou", iou(tuple(F.col(f"a{c}") for c in "xywh"), tuple(F.col(f"b{c}") for c in "xywh")))
+    middle = lambda s: (F.col(f"{s}x") + F.col(f"{s}w") / 2, F.col(f"{s}y") + F.col(f"{s}h") / 2)
+    (ax, ay), (bx, by) = middle("a"), middle("b")
+    j = j.withColumn("err", F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)))
+    best = j.groupBy(group).agg(F.count("id").alias("n"), F.max(F.when(F.col("iou") >= least, F.struct("iou", (-F.col("id")).alias("k"), "err"))).alias("b"))
+    hit = F.col("b").isNotNull()
+    return best.agg(F.count_if(hit).alias("tp"), (F.sum("n") - F.count_if(hit)).alias("fp"), F.count_if(~hit).alias("fn"), F.round(F.avg("b.iou"), 4).alias("mean_iou"), F.round(F.median("b.err"), 4).alias("median_error"))
 
 
 def nms(boxes: DataFrame, group: str, limit: float = 0.4) -> DataFrame:

@@ -1,6 +1,10 @@
 """The registered queries for the detector's operators on tables, and the SQL that checks them.
 
-Tiles are the 64 numbers of ``embeddings``; files are ``documents``.
+Tiles are the 64 numbers of ``embeddings``; files are ``documents``. The tiles hold no near duplicates
+of their own, so pair queries run on them and a copy of each, made by rule (``corpus``).
+
+Nulls and ties: rows without the column that is compared are in no pair; ties go to the smaller id;
+an empty table gives no rows (and zeros in total counts).
 """
 
 from __future__ import annotations
@@ -34,12 +38,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tile_table(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"))
+def tile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"))
+
+
+#: Copies have ids from here on.
+COPIES = 1_000_000_000
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tile and a copy of it: brighter, noisy, darker, turned, mirrored or very noisy, by its id."""
+    t = tile_table(spark, sf_dir).select("id", T.let(F.col("e").cast("array<double>"), lambda e: F.array(F.struct(F.col("id"), e.alias("e")), F.struct((F.col("id") + COPIES).alias("id"), T.copy_of(e, F.col("id")).alias("e")))).alias("c"))
+    return t.select(F.explode("c").alias("c")).select("c.id", "c.e")
 
 
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tile_table(spark, sf_dir).select("id", "e", T.dhash(F.col("e")).alias("h"))
+    return corpus(spark, sf_dir).select("id", "e", T.grid_hash(F.col("e")).alias("h"))
 
 
 # ---- SQL fragments for the checks: 1-based lists ----------------------------------------------
@@ -49,8 +63,25 @@ def _dhash_sql(perm: list[int] | None = None, e: str = "e") -> str:
 
 
 _TILES = "SELECT vec_id AS id, embedding AS e FROM embeddings"
-_HASHED = f"SELECT id, e, {_dhash_sql()} AS h FROM ({_TILES})"
-_NEAR = f"t AS MATERIALIZED ({_HASHED}), near AS (SELECT a.id AS id1, b.id AS id2, a.e AS ea, b.e AS eb, a.h AS h1, b.h AS h2, bit_count(xor(a.h, b.h))::INT AS dist FROM t a JOIN t b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 17)"
+_NOISE = "list_transform(range(1, 65), lambda i: e[i] + ((id * 31 + i * 17) % 101 - 50) * {}::DOUBLE)"
+_TURN = lambda name: "[" + ", ".join(f"e[{i + 1}]" for i in T.permutation(name)) + "]"
+_CORPUS = (
+    "base AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), "
+    f"corpus AS MATERIALIZED (SELECT * FROM base UNION ALL SELECT id + {COPIES}, CASE id % 6 WHEN 0 THEN list_transform(e, lambda x: x * 1.25::DOUBLE + 0.02::DOUBLE) WHEN 1 THEN {_NOISE.format('0.0002')} "
+    f"WHEN 2 THEN list_transform(e, lambda x: x * 0.8::DOUBLE - 0.01::DOUBLE) WHEN 3 THEN {_TURN('rot90')} WHEN 4 THEN {_TURN('flipH')} ELSE {_NOISE.format('0.0008')} END FROM base)"
+)
+
+
+def _lower_sql(perm: list[int] | None = None, e: str = "e") -> str:
+    p = perm or list(range(64))
+    return "(" + " + ".join(f"CASE WHEN {e}[{p[r * 8 + 8 + c] + 1}] > {e}[{p[r * 8 + c] + 1}] THEN {1 << (r * 8 + c)} ELSE 0 END" for r in range(7) for c in range(8)) + ")::BIGINT"
+
+
+#: Of 112 bits, how many two tiles may differ in and still be a candidate.
+LIMIT = 5
+_HASHED = f"SELECT id, e, {_dhash_sql()} AS h, {_lower_sql()} AS g FROM corpus"
+_APART = "(bit_count(xor(a.h, b.h)) + bit_count(xor(a.g, b.g)))::INT"
+_NEAR = f"{_CORPUS}, t AS MATERIALIZED ({_HASHED}), near AS MATERIALIZED (SELECT a.id AS id1, b.id AS id2, a.e AS ea, b.e AS eb, {_APART} AS dist FROM t a JOIN t b ON a.id < b.id AND {_APART} <= {LIMIT})"
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
 _MEAN = "(list_sum(list_transform({a}, lambda x: x::DOUBLE)) / 64)"
 _MOMENTS = (
@@ -61,10 +92,10 @@ _SSIM = "((2 * ma * mb + 0.0001::DOUBLE) * (2 * cov + 0.0009::DOUBLE)) / ((ma *
 
 
 def near_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of tiles within 17 of 56 bits, with both tiles."""
+    """Pairs of tiles within LIMIT of 112 bits, with both tiles."""
     t = hashed(spark, sf_dir)
-    pairs = C.hamming_pairs(t, t, 17, 56)
-    return pairs.join(t.select(F.col("id").alias("id1"), F.col("e").alias("ea"), F.col("h").alias("h1")), "id1").join(t.select(F.col("id").alias("id2"), F.col("e").alias("eb"), F.col("h").alias("h2")), "id2")
+    pairs = C.near_pairs(t, t, LIMIT, 56)
+    return pairs.join(t.select(F.col("id").alias("id1"), F.col("e").alias("ea")), "id1").join(t.select(F.col("id").alias("id2"), F.col("e").alias("eb")), "id2")
 
 
 def with_moments(df: DataFrame) -> DataFrame:
@@ -73,20 +104,21 @@ def with_moments(df: DataFrame) -> DataFrame:
 
 
 # ---- exact copies ------------------------------------------------------------------------------
-@query("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def exact_dup_groups(spark, d):
-    return table(spark, d, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    return C.classes(table(spark, d, "documents"), "doc_id", F.md5("text")).where("n > 1").select(F.col("key").alias("digest"), "n", "first_id")
 
 
-@query("SELECT a.doc_id AS id1, b.doc_id AS id2, 'critical' AS severity, 1.0::DOUBLE AS similarity, 'exact' AS match_type, 1.0::DOUBLE AS confidence FROM documents a JOIN documents b ON md5(a.text) = md5(b.text) AND a.doc_id < b.doc_id")
+@query("WITH g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS first_id, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents WHERE text IS NOT NULL) SELECT first_id AS id1, doc_id AS id2, n AS class_size, 'critical' AS severity, 1.0::DOUBLE AS similarity, 'exact' AS match_type, 1.0::DOUBLE AS confidence FROM g WHERE doc_id > first_id")
 def exact_dup_pairs(spark, d):
-    return C.exact_pairs(table(spark, d, "documents"), "doc_id", F.md5("text")).select("id1", "id2", F.lit("critical").alias("severity"), F.lit(1.0).alias("similarity"), F.lit("exact").alias("match_type"), F.lit(1.0).alias("confidence"))
+    """Each copy with its class's first row; any two rows of a class are a match."""
+    return C.exact_pairs(table(spark, d, "documents"), "doc_id", F.md5("text")).select("id1", "id2", F.col("n").alias("class_size"), F.lit("critical").alias("severity"), F.lit(1.0).alias("similarity"), F.lit("exact").alias("match_type"), F.lit(1.0).alias("confidence"))
 
 
 # ---- tile features -----------------------------------------------------------------------------
-@query(f"SELECT id, h AS hash FROM ({_HASHED})")
+@query(f"SELECT id, {_dhash_sql()} AS hash FROM ({_TILES})")
 def tile_dhash(spark, d):
-    return hashed(spark, d).select("id", F.col("h").alias("hash"))
+    return tile_table(spark, d).select("id", T.dhash(F.col("e")).alias("hash"))
 
 
 def _coef_sql() -> str:
@@ -128,92 +160,127 @@ def hist_js_corr(spark, d):
 @query(f"WITH {_NEAR} SELECT id1, id2, dist FROM near")
 def hamming_pairs(spark, d):
     t = hashed(spark, d)
-    return C.hamming_pairs(t, t, 17, 56)
+    return C.near_pairs(t, t, LIMIT, 56)
 
 
-_TURNED = " UNION ALL ".join(f"SELECT id, {k} AS turn, {_dhash_sql(T.permutation(n))} AS h FROM ({_TILES})" for k, n in enumerate(T.TURNS))
+_TURNED = " UNION ALL ".join(f"SELECT id, {k} AS turn, {_dhash_sql(T.permutation(n))} AS h, {_lower_sql(T.permutation(n))} AS g FROM corpus" for k, n in enumerate(T.TURNS))
 
 
-@query(f"WITH a AS MATERIALIZED ({_HASHED}), b AS MATERIALIZED ({_TURNED}), p AS (SELECT a.id AS id1, b.id AS id2, b.turn, bit_count(xor(a.h, b.h))::INT AS dist FROM a JOIN b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 15) SELECT id1, id2, min(dist) AS dist, arg_min(turn, (dist, turn)) AS turn FROM p GROUP BY id1, id2")
+@query(f"WITH {_CORPUS}, a AS MATERIALIZED ({_HASHED}), b AS MATERIALIZED ({_TURNED}), p AS (SELECT a.id AS id1, b.id AS id2, b.turn, {_APART} AS dist FROM a JOIN b ON a.id < b.id AND {_APART} <= {LIMIT}) SELECT id1, id2, min(dist) AS dist, arg_min(turn, (dist, turn)) AS turn FROM p GROUP BY id1, id2")
 def geometric_pairs(spark, d):
-    t = tile_table(spark, d)
-    turned = t.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), T.dhash(F.col("e"), T.permutation(n)).alias("h")) for k, n in enumerate(T.TURNS)])).alias("s")).select("id", "s.turn", "s.h")
-    a, b = hashed(spark, d).select(F.col("id").alias("id1"), F.col("h").alias("h1")), turned.select(F.col("id").alias("id2"), "turn", F.col("h").alias("h2"))
-    p = a.join(b, (F.col("id1") < F.col("id2")) & (T.hamming(F.col("h1"), F.col("h2")) <= 15)).withColumn("dist", T.hamming(F.col("h1"), F.col("h2")))
+    """One tile as it is against another's turns and mirrorings: the nearest, within LIMIT bits."""
+    t = corpus(spark, d)
+    turned = t.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), T.grid_hash(F.col("e"), T.permutation(n)).alias("h")) for k, n in enumerate(T.TURNS)])).alias("s")).select("id", "s.turn", "s.h")
+    p = C.near_pairs(hashed(spark, d), turned, LIMIT, 56, 2, "turn")
     return p.groupBy("id1", "id2").agg(F.min("dist").alias("dist"), F.min_by("turn", F.struct("dist", "turn")).alias("turn"))
 
 
-#: Six 5x5 windows of a tile (row, column), and the 20 comparisons of neighbours in each.
-_CORNERS = [(0, 0), (0, 3), (3, 0), (3, 3), (1, 1), (2, 2)]
+#: Six 6x6 windows of a tile (row, column), and the 30 + 30 comparisons of neighbours in each.
+_CORNERS = [(0, 0), (0, 2), (2, 0), (2, 2), (1, 1), (0, 1)]
 
 
-def _window_bits(r0: int, c0: int) -> list[tuple[int, int]]:
-    return [((r0 + r) * 8 + c0 + c, (r0 + r) * 8 + c0 + c + 1) for r in range(5) for c in range(4)]
+def _window_bits(r0: int, c0: int) -> tuple[list, list]:
+    along = [((r0 + r) * 8 + c0 + c, (r0 + r) * 8 + c0 + c + 1) for r in range(6) for c in range(5)]
+    down = [((r0 + r) * 8 + c0 + c, (r0 + r) * 8 + c0 + c + 8) for r in range(5) for c in range(6)]
+    return along, down
 
 
-def _window_sql(k: int, e: str = "e") -> str:
-    return "(" + " + ".join(f"CASE WHEN {e}[{b + 1}] > {e}[{a + 1}] THEN {1 << i} ELSE 0 END" for i, (a, b) in enumerate(_window_bits(*_CORNERS[k]))) + ")::BIGINT"
+def _window_sql(bits: list) -> str:
+    return "(" + " + ".join(f"CASE WHEN e[{b + 1}] > e[{a + 1}] THEN {1 << i} ELSE 0 END" for i, (a, b) in enumerate(bits)) + ")::BIGINT"
 
 
-_WINDOWED = " UNION ALL ".join(f"SELECT id, {k} AS win, {_window_sql(k)} AS h FROM ({_TILES})" for k in range(6))
+_WINDOWED = " UNION ALL ".join(f"SELECT id, {k} AS win, {_window_sql(_window_bits(*w)[0])} AS h, {_window_sql(_window_bits(*w)[1])} AS g FROM corpus" for k, w in enumerate(_CORNERS))
 
 
-@query(f"WITH b AS MATERIALIZED ({_WINDOWED}), p AS (SELECT x.id AS id1, y.id AS id2, y.win, bit_count(xor(x.h, y.h))::INT AS dist FROM b x JOIN b y ON x.win = 4 AND x.id <> y.id AND bit_count(xor(x.h, y.h)) <= 1) SELECT least(id1, id2) AS id1, greatest(id1, id2) AS id2, min(dist) AS dist, arg_min(win, (dist, win)) AS win FROM p GROUP BY 1, 2")
+@query(f"WITH {_CORPUS}, w AS MATERIALIZED ({_WINDOWED}), p AS (SELECT a.id AS i, b.id AS j, b.win, {_APART} AS dist FROM w a JOIN w b ON a.win = 4 AND a.id <> b.id AND {_APART} <= 3) SELECT least(i, j) AS id1, greatest(i, j) AS id2, min(dist) AS dist, arg_min(win, (dist, win)) AS win FROM p GROUP BY 1, 2")
 def subwindow_pairs(spark, d):
-    """The middle window of one tile against every window of another, within 1 of 20 bits: two bands."""
-    w = tile_table(spark, d).select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("win"), T.pack_bits([F.col("e")[b] > F.col("e")[a] for a, b in _window_bits(*_CORNERS[k])]).alias("h")) for k in range(6)])).alias("s")).select("id", "s.win", "s.h")
-    x = w.where("win = 4").select(F.col("id").alias("i"), F.col("h").alias("hx")).withColumn("k", F.explode(C.bands(F.col("hx"), 20, 2)))
-    y = w.select(F.col("id").alias("j"), "win", F.col("h").alias("hy")).withColumn("k", F.explode(C.bands(F.col("hy"), 20, 2)))
-    near = x.join(y, "k").where("i <> j").withColumn("dist", T.hamming(F.col("hx"), F.col("hy"))).where("dist <= 1")
-    return near.groupBy(F.least("i", "j").alias("id1"), F.greatest("i", "j").alias("id2")).agg(F.min("dist").alias("dist"), F.min_by("win", F.struct("dist", "win")).alias("win"))
+    """The middle window of one tile against every window of another, within 3 of 60 bits, either way."""
+    bits = [F.struct(F.lit(k).alias("win"), F.array(*[T.compare_bits(F.col("e"), part) for part in _window_bits(*w)]).alias("h")) for k, w in enumerate(_CORNERS)]
+    w = corpus(spark, d).select("id", F.explode(F.array(*bits)).alias("s")).select("id", "s.win", "s.h")
+    middle, flip = w.where("win = 4").drop("win"), lambda df: df.withColumn("id", -F.col("id"))  # noqa: E731  near_pairs gives id1 < id2
+    up = C.near_pairs(middle, w, 3, 30, 2, "win")
+    down = C.near_pairs(flip(middle), flip(w), 3, 30, 2, "win").select((-F.col("id2")).alias("id1"), (-F.col("id1")).alias("id2"), "dist", "win")
+    return up.union(down).groupBy("id1", "id2").agg(F.min("dist").alias("dist"), F.min_by("win", F.struct("dist", "win")).alias("win"))
 
 
 _rng = random.Random(42)
-PLANES = [[_rng.choice((-1, 1)) for _ in range(64)] for _ in range(32)]
+#: Ten tables of eight hyperplanes, and eight more per table for buckets that are too large.
+TABLES, PER_TABLE = 10, 8
+PLANES = [[_rng.choice((-1, 1)) for _ in range(64)] for _ in range(2 * TABLES * PER_TABLE)]
 
 
 def _lsh_sql() -> str:
-    sign = [f"CASE WHEN list_sum(list_transform(range(1, 65), lambda i: round(e[i]::DOUBLE * 1000000) * {p}[i])) > 0 THEN 1 ELSE 0 END" for p in PLANES]
-    keys = [f"'{t}:' || CAST(" + " + ".join(f"({sign[t * 8 + k]}) * {1 << k}" for k in range(8)) + " AS VARCHAR)" for t in range(4)]
-    return f"k AS MATERIALIZED (SELECT id, unnest([{', '.join(keys)}]) AS key FROM ({_TILES}))"
+    planes = "[" + ", ".join("[" + ", ".join(map(str, p)) + "]" for p in PLANES[: TABLES * PER_TABLE]) + "]"
+    dots = f"list_transform({planes}, lambda p: list_sum(list_transform(range(1, 65), lambda i: round(e[i] * 1000000) * p[i])))"
+    key = f"list_sum(list_transform(range({PER_TABLE}), lambda k: CASE WHEN s[t * {PER_TABLE} + k + 1] > 0 THEN 1 << k::INT ELSE 0 END))::BIGINT"
+    return f"{_CORPUS}, sign AS MATERIALIZED (SELECT id, {dots} AS s FROM corpus), k AS MATERIALIZED (SELECT id, t * 65536 + {key} AS key FROM (SELECT id, s, unnest(range({TABLES})) AS t FROM sign))"
 
 
 _BUCKETS = "s AS (SELECT key FROM k GROUP BY key HAVING count(*) BETWEEN {lo} AND {hi}), p AS (SELECT a.id AS id1, b.id AS id2, count(*) AS shared FROM k a JOIN k b ON a.key = b.key AND a.id < b.id JOIN s ON s.key = a.key GROUP BY ALL)"
 
 
-@query(f"WITH {_lsh_sql()}, {_BUCKETS.format(lo=2, hi=1000)} SELECT id1, id2, shared FROM p WHERE shared >= 2")
+@query(f"WITH {_lsh_sql()}, {_BUCKETS.format(lo=2, hi=1000)} SELECT id1, id2, shared FROM p")
 def lsh_pairs(spark, d):
-    k = tile_table(spark, d).select("id", F.explode(C.lsh_keys(F.col("e"), PLANES, 8)).alias("key"))
-    return C.bucket_pairs(k, 2, 1000).where("shared >= 2")
+    """Pairs that meet in any of ten tables; a bucket of more than 1,000 tiles is split by eight further planes."""
+    return C.bucket_pairs(C.lsh_rows(corpus(spark, d), PLANES, TABLES, PER_TABLE), 2, 1000, "finer")
 
 
-@query(f"WITH k AS (SELECT id, h & 4095 AS key FROM ({_HASHED})), {_BUCKETS.format(lo=2, hi=500)} SELECT id1, id2 FROM p")
+@query(f"WITH {_CORPUS}, k AS (SELECT id, h & 1048575 AS key FROM ({_HASHED})), {_BUCKETS.format(lo=2, hi=500)} SELECT id1, id2 FROM p")
 def prefix_pairs(spark, d):
-    return C.bucket_pairs(hashed(spark, d).select("id", F.col("h").bitwiseAND(4095).alias("key")), 2, 500).select("id1", "id2")
+    """Equal in 20 bits of the hash; a bucket of more than 500 tiles is split by the other bits."""
+    rows = hashed(spark, d).select("id", F.col("h")[0].bitwiseAND(1048575).alias("key"), F.shiftright(F.col("h")[0], 20).alias("finer"))
+    return C.bucket_pairs(rows, 2, 500, "finer").select("id1", "id2")
+
 
+_BANDED = "[" + ", ".join(f"({b} * 65536 + (({w} >> {(b % 3) * 16}) & 65535))" for b, w in enumerate("hhhggg")) + "]"
 
-@query(f"WITH k AS (SELECT id, unnest([{', '.join(f'({b} * 65536 + ((h >> {b * 14}) & 16383))' for b in range(4))}]) AS key FROM ({_HASHED})), {_BUCKETS.format(lo=2, hi=49)} SELECT id1, id2, shared FROM p")
+
+@query(f"WITH {_CORPUS}, k AS (SELECT id, unnest({_BANDED}) AS key FROM ({_HASHED})), {_BUCKETS.format(lo=2, hi=49)} SELECT id1, id2, shared FROM p")
 def band_pairs(spark, d):
-    key = F.array(*[F.shiftrightunsigned("h", b * 14).bitwiseAND(16383) + b * 65536 for b in range(4)])
-    return C.bucket_pairs(hashed(spark, d).select("id", F.explode(key).alias("key")), 2, 49)
+    """Pairs that share one of six 16-bit segments; a segment in more than 49 tiles is split by the rest of its word."""
+    word = lambda b: F.col("h")[b // 3]
+    key = F.array(*[F.struct((F.shiftrightunsigned(word(b), b % 3 * 16).bitwiseAND(65535) + b * 65536).alias("key"), word(b).alias("finer")) for b in range(6)])
+    return C.bucket_pairs(hashed(spark, d).select("id", F.explode(key).alias("k")).select("id", "k.key", "k.finer"), 2, 49, "finer")
+
+
+_AROUND = [-9, -8, -7, -1, 1, 7, 8, 9]
+
+
+def _words_sql() -> str:
+    code = lambda at: "(" + " + ".join(f"CASE WHEN e[{at + d + 1}] > e[{at + 1}] THEN {1 << k} ELSE 0 END" for k, d in enumerate(_AROUND)) + ")"
+    return "list_distinct([" + ", ".join(f"{code(r * 8 + c)} * 256 + {code(r * 8 + c + 1)}" for r in range(1, 7) for c in range(1, 6)) + "])"
+
 
+@query(f"WITH {_CORPUS} SELECT id, len(w)::INT AS n_words, list_sum(w)::BIGINT AS total FROM (SELECT id, {_words_sql()} AS w FROM corpus)")
+def visual_words(spark, d):
+    w = T.words(F.col("e"))
+    return corpus(spark, d).select("id", F.size(w).alias("n_words"), F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
-@query(f"WITH k AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(text, '[a-z]{{12,}}')) AS key FROM documents), {_BUCKETS.format(lo=2, hi=30)} SELECT id1, id2, shared FROM p WHERE shared >= 8")
+
+@query(f"WITH {_CORPUS}, k AS MATERIALIZED (SELECT id, unnest({_words_sql()}) AS key FROM corpus), {_BUCKETS.format(lo=2, hi=3000)} SELECT id1, id2, shared FROM p WHERE shared >= 8")
 def bow_pairs(spark, d):
-    k = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z]{12,})"), F.lit(1)))).alias("key"))
-    return C.bucket_pairs(k, 2, 30).where("shared >= 8")
+    """Tiles that share eight visual words; words in more than 3,000 tiles are stop words, as in any such index."""
+    return C.bucket_pairs(corpus(spark, d).select("id", F.explode(T.words(F.col("e"))).alias("key")), 2, 3000).where("shared >= 8")
 
 
-@query("SELECT b.item_id, d.doc_id, instr(d.text, b.text)::INT AS pos FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0")
+@query("SELECT b.item_id, d.doc_id, instr(d.text, b.text)::INT AS pos FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0 WHERE b.text <> ''")
 def contains_pairs(spark, d):
-    """Benchmark texts inside documents. Both sides are keyed by 8-word prefixes and windows, so that only texts with a common key are compared."""
-    words = lambda c: F.split(F.trim(c), " ")
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("small"))
-    out = table(spark, d, "documents").select("doc_id", "text")
-    lead = F.array_join(F.slice(words(F.col("small")), 2, 4), " ")
-    w = out.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(1, size(w) - 3)), i -> array_join(slice(w, i, 4), ' '))"))).alias("k"))
-    met = w.join(F.broadcast(b.select("item_id", lead.alias("k"))), "k").select("doc_id", "item_id").distinct()
-    return met.join(out, "doc_id").join(b, "item_id").select("item_id", "doc_id", F.expr("instr(text, small)").alias("pos")).where("pos > 0")
+    """Benchmark texts inside documents. An item of six words or more, split at blanks, holds four inner
+    words that stand whole in every document that holds the item; items and documents meet on those.
+    Shorter items have no such key and are compared with every document, as a broadcast of the query
+    texts if there are at most 10,000 of them, else by a nested loop over partitions."""
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("small")).where("small <> ''")
+    out = table(spark, d, "documents").select("doc_id", "text").where("text is not null")
+    words = lambda c: F.split(c, " ")
+    b = b.withColumn("k", F.when(F.size(words(F.col("small"))) >= 6, F.array_join(F.slice(words(F.col("small")), 2, 4), " ")))
+    keyed, short = b.where("k is not null"), b.where("k is null").select("item_id", "small")
+    w = out.select("doc_id", words(F.col("text")).alias("w")).where("size(w) >= 4").select("doc_id", F.explode(F.array_distinct(F.expr("transform(sequence(1, size(w) - 3), i -> array_join(slice(w, i, 4), ' '))"))).alias("k"))
+    met = w.join(keyed.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
+    found = met.join(out, "doc_id").join(keyed.select("item_id", "small"), "item_id")
+    few = short.limit(10_001).count()
+    if few:
+        found = found.select("item_id", "doc_id", "small", "text").union(out.join(F.broadcast(short) if few <= 10_000 else short, F.expr("instr(text, small) > 0")).select("item_id", "doc_id", "small", "text"))
+    return found.select("item_id", "doc_id", F.expr("instr(text, small)").alias("pos")).where("pos > 0")
 
 
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) SELECT doc_id, md5(line) AS line_md5, count(*) AS n, min(pos)::INT AS first_pos, max(pos)::INT AS last_pos FROM l WHERE length(line) > 20 GROUP BY doc_id, md5(line) HAVING count(*) > 1")
@@ -236,7 +303,7 @@ def prefilter_size(spark, d):
     return j.where(near("p_size", 1.3) & near("p_retailprice", 4)).select(F.col("a.p_partkey").alias("id1"), F.col("b.p_partkey").alias("id2"))
 
 
-@query("WITH s AS (SELECT doc_id, source || '/' || CAST(doc_id // 4 AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '_GFP' WHEN 1 THEN '_rfp' WHEN 2 THEN '_CH2' ELSE '_raw' END AS path FROM documents) SELECT doc_id, lower(regexp_replace(path, '_(CH[0-9]+|C[0-9]+|GFP|RFP|DAPI|CY3|CY5|FITC|TRITC)$', '', 'i')) AS base FROM s")
+@query("WITH s AS (SELECT doc_id, source || '/' || CAST(doc_id // 4 AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '_GFP' WHEN 1 THEN '_rfp' WHEN 2 THEN '_CH2' ELSE '_raw' END AS path FROM documents) SELECT doc_id, lower(regexp_replace(path, '_(CH[1-5]|OVERLAY|BRIGHT|DIC|GFP|RFP|DAPI|CY3|CY5|FITC|TRITC)$', '', 'i')) AS base FROM s")
 def channel_alias(spark, d):
     from .detect import CHANNELS
 
@@ -258,22 +325,42 @@ def brightness_contrast(spark, d):
     return v.select("id1", "id2", F.round(s, 6).alias("structure"), F.round(c, 6).alias("contrast"), ((s >= 0.2) & (c < 0.999)).alias("passed"))
 
 
-def _strip_sql(a: str, b: str) -> str:
-    pa = [f"CASE WHEN abs({a}[{r * 8 + 8}] - {a}[{r * 8 + 7}]) > 0.1 THEN 1 ELSE 0 END" for r in range(8)]
-    pb = [f"CASE WHEN abs({b}[{r * 8 + 2}] - {b}[{r * 8 + 1}]) > 0.1 THEN 1 ELSE 0 END" for r in range(8)]
-    inter, union = " + ".join(f"least({x}, {y})" for x, y in zip(pa, pb, strict=True)), " + ".join(f"greatest({x}, {y})" for x, y in zip(pa, pb, strict=True))
-    return f"CASE WHEN ({union}) > 0 THEN ({inter})::DOUBLE / ({union}) ELSE 0 END"
+#: Two-cell strips that may touch: right of the one and left of the other, or bottom and top; row by row.
+STRIPS = {"right": ([r * 8 + 6 + c for r in range(8) for c in range(2)], [r * 8 + c for r in range(8) for c in range(2)], 1), "down": ([48 + k for k in range(16)], list(range(16)), 8)}
+
+
+def _strip_sql(a: str, b: str, p: list[int], q: list[int], step: int) -> str:
+    mask = lambda e, cells: [f"CASE WHEN abs({e}[{i + 1 + (step if k == 0 else 0)}] - {e}[{i + 1 - (step if k else 0)}]) > 0.1 THEN 1 ELSE 0 END" for k, i in [(0, i) for i in cells if i + step in cells]]
+    ma, mb = mask(a, p), mask(b, q)
+    inter, union = " + ".join(f"least({x}, {y})" for x, y in zip(ma, mb, strict=True)), " + ".join(f"greatest({x}, {y})" for x, y in zip(ma, mb, strict=True))
+    x, y = "[" + ", ".join(f"{a}[{i + 1}]" for i in p) + "]", "[" + ", ".join(f"{b}[{i + 1}]" for i in q) + "]"
+    total = lambda f: f"list_sum(list_transform(range(1, 17), lambda i: {f}))"
+    cov, va, vb = (f"({total(f'{u}[i] * {v}[i]')} - {total(f'{u}[i]')} * {total(f'{v}[i]')} / 16)" for u, v in ((x, y), (x, x), (y, y)))
+    ncc = f"CASE WHEN {va} > 1e-12::DOUBLE AND {vb} > 1e-12::DOUBLE THEN greatest(0, {cov} / sqrt({va} * {vb})) ELSE 0 END"
+    return f"(0.6::DOUBLE * CASE WHEN ({union}) > 0 THEN ({inter})::DOUBLE / ({union}) ELSE 0 END + 0.4::DOUBLE * ({ncc}))"
+
+
+_SPLICES = [(k, *(("ea", "eb") if not swap else ("eb", "ea")), *STRIPS[k]) for k in STRIPS for swap in (False, True)]
 
 
-@query(f"WITH {_NEAR} SELECT id1, id2, round({_strip_sql('ea', 'eb')}, 6) AS overlap FROM near")
+@query(f"WITH {_NEAR}, s AS (SELECT id1, id2, [{', '.join(f'round({_strip_sql(a, b, p, q, step)}, 6)' for _, a, b, p, q, step in _SPLICES)}] AS s FROM near) SELECT id1, id2, list_max(s) AS overlap, (list_position(s, list_max(s)) - 1)::INT AS place, list_max(s) >= 0.55::DOUBLE AS spliced FROM s")
 def edge_overlap(spark, d):
-    """Edges of one tile's right strip against those of the other's left strip."""
-    a, b = F.col("ea"), F.col("eb")
-    p = [(F.abs(a[r * 8 + 7] - a[r * 8 + 6]) > 0.1).cast("int") for r in range(8)]
-    q = [(F.abs(b[r * 8 + 1] - b[r * 8]) > 0.1).cast("int") for r in range(8)]
-    inter = sum((F.least(x, y) for x, y in zip(p, q, strict=True)), F.lit(0))
-    union = sum((F.greatest(x, y) for x, y in zip(p, q, strict=True)), F.lit(0))
-    return near_tiles(spark, d).select("id1", "id2", F.round(F.when(union > 0, inter / union).otherwise(F.lit(0.0)), 6).alias("overlap"))
+    """Does a tile go on in another, to the right or below, either way? 0.6 of the edges' overlap and
+    0.4 of the strips' correlation; the best of four places."""
+    def score(a: str, b: str, p: list[int], q: list[int], step: int):
+        mask = lambda e, cells: [(F.abs(F.col(e)[i + step] - F.col(e)[i]) > 0.1).cast("int") for i in cells if i + step in cells]
+        m, n = mask(a, p), mask(b, q)
+        inter = sum((F.least(x, y) for x, y in zip(m, n, strict=True)), F.lit(0))
+        union = sum((F.greatest(x, y) for x, y in zip(m, n, strict=True)), F.lit(0))
+        x, y = F.array(*[F.col(a)[i] for i in p]), F.array(*[F.col(b)[i] for i in q])
+        total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, u: s + u)
+        cov, va, vb = (T.dot(u, v) - total(u) * total(v) / 16 for u, v in ((x, y), (x, x), (y, y)))
+        ncc = F.when((va > 1e-12) & (vb > 1e-12), F.greatest(F.lit(0.0), cov / F.sqrt(va * vb))).otherwise(F.lit(0.0))
+        return F.round(0.6 * F.when(union > 0, inter / union).otherwise(F.lit(0.0)) + 0.4 * ncc, 6)
+
+    s = near_tiles(spark, d).select("id1", "id2", F.array(*[score(a, b, p, q, step) for _, a, b, p, q, step in _SPLICES]).alias("s"))
+    best = F.array_max("s")
+    return s.select("id1", "id2", best.alias("overlap"), (F.array_position("s", best) - 1).cast("int").alias("place"), (best >= 0.55).alias("spliced"))
 
 
 def _ncc_sql() -> str:
@@ -292,34 +379,54 @@ def _ncc_sql() -> str:
 @query(f"WITH {_NEAR} {_ncc_sql()}")
 def template_ncc(spark, d):
     """The middle 4x4 of one tile sought at all 25 places of the other."""
-    def ncc(oy: int, ox: int):
-        w = F.array(*[F.col("eb")[(oy + r) * 8 + ox + c].cast("double") for r in range(4) for c in range(4)])
-        t = F.array(*[F.col("ea")[(2 + r) * 8 + 2 + c].cast("double") for r in range(4) for c in range(4)])
-        total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    t = T.window(F.col("ea"), F.lit(2), F.lit(2), 4)
+
+    def at(o):
+        w = T.window(F.col("eb"), F.floor(o / 5), o % 5, 4)
         num = T.dot(t, w) - total(t) * total(w) / 16
-        return F.round(num / F.sqrt((T.dot(t, t) - total(t) * total(t) / 16) * (T.dot(w, w) - total(w) * total(w) / 16)), 6)
+        s = num / F.sqrt((T.dot(t, t) - total(t) * total(t) / 16) * (T.dot(w, w) - total(w) * total(w) / 16))
+        return F.struct(F.round(s, 6).alias("s"), (-o).alias("o"))
 
-    best = F.array_max(F.array(*[F.struct(ncc(o // 5, o % 5).alias("s"), F.lit(-o).alias("o")) for o in range(25)]))
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(24)), at))
     return near_tiles(spark, d).select("id1", "id2", best.alias("b")).select("id1", "id2", F.col("b.s").alias("ncc"), (-F.col("b.o")).alias("place"))
 
 
+#: A copy whose name differs by a channel only: by rule, the first three of ten ids and their copies.
+_SAME = f"(id1 % {COPIES} = id2 % {COPIES} AND id1 % 10 < 3)"
+_ZSSIM = "CASE WHEN va > 0 AND vb > 0 THEN (2 * cov / sqrt(va * vb) + 0.0009::DOUBLE) / 2.0009::DOUBLE ELSE 0 END"
+_PBITS = f"SELECT id, list_sum(list_transform(range(1, 17), lambda k: CASE WHEN c[k] > med THEN 1 << (k - 1)::INT ELSE 0 END))::BIGINT AS p FROM (SELECT id, c, list_sort(c[2:16])[8] AS med FROM (SELECT id, {_coef_sql()} AS c FROM corpus))"
 _VOTES = (
-    f"w AS (SELECT id1, id2, dist, {_SSIM} AS s, {_HIST.format(e='ea')} AS p, {_HIST.format(e='eb')} AS q FROM v), "
-    f"j AS (SELECT *, (dist <= 16)::INT + (s >= 0.1)::INT + (abs(s) <= 0.5)::INT AS n, {_JS} AS js FROM w), "
-    "c AS (SELECT id1, id2, dist, n, (1 - dist / 56 + s) / 2 AS sim, js FROM j WHERE n >= 2), "
-    "votes AS (SELECT id1, id2, n AS votes, round(sim, 4) AS similarity, round(CASE WHEN js >= 0.8 THEN least(1, sim * (0.5 + 0.5 * n / 3) + 0.05) ELSE sim * (0.5 + 0.5 * n / 3) END, 4) AS confidence, CASE WHEN dist <= 14 THEN 'critical' WHEN dist <= 15 THEN 'high' WHEN dist <= 16 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN n = 3 THEN 'vote3' ELSE 'vote2' END AS match_type FROM c)"
+    f"ph AS MATERIALIZED ({_PBITS}), "
+    f"w AS (SELECT id1, id2, dist, bit_count(xor(x.p, y.p))::INT AS pd, {_SSIM} AS plain, {_ZSSIM} AS z, {_HIST.format(e='ea')} AS p, {_HIST.format(e='eb')} AS q FROM v JOIN ph x ON x.id = id1 JOIN ph y ON y.id = id2), "
+    f"j AS (SELECT id1, id2, dist, pd, plain, z, (dist <= 3)::INT AS v1, (pd <= 1)::INT AS v2, (round(plain, 6) >= 0.9::DOUBLE OR round(z, 6) >= 0.985::DOUBLE)::INT AS v3, round({_JS}, 6) AS js FROM w), "
+    "n AS (SELECT *, v1 + v2 + v3 AS n, (v1 * (1 - dist / 112) + v2 * (1 - pd / 16) + v3 * greatest(plain, z)) AS total FROM j), "
+    f"c AS (SELECT *, total / n AS sim, (total / n) * (0.5::DOUBLE + 0.5::DOUBLE * n / 3) AS conf, {_SAME} AS same FROM n WHERE n >= 2), "
+    "votes AS (SELECT id1, id2, n AS votes, round(sim, 4) AS similarity, round((CASE WHEN js >= 0.8::DOUBLE THEN least(1, conf + 0.05::DOUBLE) ELSE conf END) * (CASE WHEN same THEN 0.75::DOUBLE ELSE 1 END), 4) AS confidence, CASE WHEN pd <= 1 AND dist <= 2 AND NOT same THEN 'critical' ELSE 'high' END AS severity, CASE WHEN n = 3 THEN 'vote3' ELSE 'vote2' END AS match_type, same AS same_channel_base FROM c)"
 )
 
 
+def signals(spark, d) -> DataFrame:
+    """Near pairs with what the detectors look at: dist, pd, plain and z-scored similarity, histograms."""
+    ph = corpus(spark, d).select("id", T.phash(T.dct_coefficients(F.col("e"))).alias("p"))
+    v = with_moments(near_tiles(spark, d)).join(ph.toDF("id1", "p1"), "id1").join(ph.toDF("id2", "p2"), "id2")
+    z = F.when((F.col("va") > 0) & (F.col("vb") > 0), (2 * F.col("cov") / F.sqrt(F.col("va") * F.col("vb")) + 0.0009) / 2.0009).otherwise(F.lit(0.0))
+    return v.select("id1", "id2", "dist", T.hamming(F.col("p1"), F.col("p2")).alias("pd"), T.ssim(*[F.col(c) for c in ("ma", "mb", "va", "vb", "cov")]).alias("plain"), z.alias("z"), T.histogram(F.col("ea")).alias("p"), T.histogram(F.col("eb")).alias("q"), "ea", "eb")
+
+
 def votes(spark, d) -> DataFrame:
-    v = with_moments(near_tiles(spark, d))
-    s = T.ssim(*[F.col(c) for c in ("ma", "mb", "va", "vb", "cov")])
-    v = v.select("id1", "id2", "dist", s.alias("s"), T.js_similarity(T.histogram(F.col("ea")), T.histogram(F.col("eb"))).alias("js"))
-    n = (F.col("dist") <= 16).cast("int") + (F.col("s") >= 0.1).cast("int") + (F.abs("s") <= 0.5).cast("int")
-    v = v.withColumn("n", n).where("n >= 2").withColumn("sim", (1 - F.col("dist") / 56 + F.col("s")) / 2)
+    """At least two of three structural votes; confidence by share of votes, with a bonus for like
+    histograms and a malus for what may be channels of one experiment."""
+    v = signals(spark, d).withColumn("js", F.round(T.js_similarity(F.col("p"), F.col("q")), 6))
+    passed = [F.col("dist") <= 3, F.col("pd") <= 1, (F.round("plain", 6) >= 0.9) | (F.round("z", 6) >= 0.985)]
+    sims = [1 - F.col("dist") / 112, 1 - F.col("pd") / 16, F.greatest("plain", "z")]
+    v = v.withColumn("n", sum((x.cast("int") for x in passed), F.lit(0))).where("n >= 2")
+    v = v.withColumn("sim", sum((x.cast("int") * y for x, y in zip(passed, sims, strict=True)), F.lit(0.0)) / F.col("n"))
+    same = (F.col("id1") % COPIES == F.col("id2") % COPIES) & (F.col("id1") % 10 < 3)
     conf = F.col("sim") * (0.5 + 0.5 * F.col("n") / 3)
-    sev = F.when(F.col("dist") <= 14, "critical").when(F.col("dist") <= 15, "high").when(F.col("dist") <= 16, "medium").otherwise("low")
-    return v.select("id1", "id2", F.col("n").alias("votes"), F.round("sim", 4).alias("similarity"), F.round(F.when(F.col("js") >= 0.8, F.least(F.lit(1.0), conf + 0.05)).otherwise(conf), 4).alias("confidence"), sev.alias("severity"), F.when(F.col("n") == 3, "vote3").otherwise("vote2").alias("match_type"))
+    conf = F.when(F.col("js") >= 0.8, F.least(F.lit(1.0), conf + 0.05)).otherwise(conf) * F.when(same, 0.75).otherwise(F.lit(1.0))
+    sev = F.when((F.col("pd") <= 1) & (F.col("dist") <= 2) & ~same, "critical").otherwise("high")
+    return v.select("id1", "id2", F.col("n").alias("votes"), F.round("sim", 4).alias("similarity"), F.round(conf, 4).alias("confidence"), sev.alias("severity"), F.when(F.col("n") == 3, "vote3").otherwise("vote2").alias("match_type"), same.alias("same_channel_base"))
 
 
 @query(f"WITH {_NEAR}, {_MOMENTS}, {_VOTES} SELECT * FROM votes")
@@ -328,28 +435,39 @@ def vote_verify(spark, d):
 
 
 # ---- nearest neighbours ------------------------------------------------------------------------
-_ITEM_PAIRS = "SELECT a.l_orderkey AS grp, a.l_linenumber AS i, b.l_linenumber AS j, abs(a.l_extendedprice - b.l_extendedprice) AS dist FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber"
+_ITEM_PAIRS = "p AS MATERIALIZED (SELECT a.l_orderkey AS grp, a.l_linenumber AS i, b.l_linenumber AS j, sqrt((a.l_extendedprice / 1000 - b.l_extendedprice / 1000) * (a.l_extendedprice / 1000 - b.l_extendedprice / 1000) + (a.l_quantity - b.l_quantity) * (a.l_quantity - b.l_quantity)) AS dist FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey{}), r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp, i ORDER BY dist, j) AS rn, lead(dist) OVER (PARTITION BY grp, i ORDER BY dist, j) AS second FROM p)"
 
 
-def item_pairs(spark, d) -> DataFrame:
-    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    a, b = l.toDF("grp", "i", "x"), l.toDF("grp", "j", "y")
-    return a.join(b, "grp").where("i <> j").select("grp", "i", "j", F.abs(F.col("x") - F.col("y")).alias("dist"))
+def item_pairs(spark, d, left: str = "true", right: str = "true") -> DataFrame:
+    """Distances of points (price, quantity) in an order, with each point's rank among the others' neighbours and the next distance."""
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 1000).alias("x"), "l_quantity", "l_returnflag")
+    a, b = l.where(left).drop("l_returnflag").toDF("grp", "i", "x", "u"), l.where(right).drop("l_returnflag").toDF("grp", "j", "y", "v")
+    dx, du = F.col("x") - F.col("y"), F.col("u") - F.col("v")
+    return a.join(b, "grp").select("grp", "i", "j", F.sqrt(dx * dx + du * du).alias("dist"))
 
 
-@query(f"WITH p AS ({_ITEM_PAIRS}), r AS (SELECT *, row_number() OVER (PARTITION BY grp, i ORDER BY dist, j) AS rn FROM p) SELECT a.grp, a.i, a.j, round(a.dist, 4) AS dist FROM r a JOIN r b ON a.grp = b.grp AND a.i = b.i AND a.rn = 1 AND b.rn = 2 WHERE a.dist < 0.8::DOUBLE * b.dist")
-def knn_ratio(spark, d):
-    """Each item's nearest in its group, kept if clearly nearer than the second."""
+def ranked(pairs: DataFrame) -> DataFrame:
     w = Window.partitionBy("grp", "i").orderBy("dist", "j")
-    r = item_pairs(spark, d).withColumn("rn", F.row_number().over(w)).withColumn("second", F.lead("dist").over(w))
-    return r.where((F.col("rn") == 1) & (F.col("dist") < 0.8 * F.col("second"))).select("grp", "i", "j", F.round("dist", 4).alias("dist"))
+    return pairs.withColumn("rn", F.row_number().over(w)).withColumn("second", F.lead("dist").over(w))
+
+
+@query(f"WITH {_ITEM_PAIRS.format(' AND abs(a.l_linenumber - b.l_linenumber) >= 2')} SELECT grp, i, j, round(dist, 6) AS dist FROM r WHERE rn = 1 AND dist < 0.8::DOUBLE * second")
+def knn_ratio(spark, d):
+    """Each point's nearest in its group that does not stand beside it, kept if clearly nearer than the second."""
+    return ranked(item_pairs(spark, d).where(F.abs(F.col("i") - F.col("j")) >= 2)).where((F.col("rn") == 1) & (F.col("dist") < 0.8 * F.col("second"))).select("grp", "i", "j", F.round("dist", 6).alias("dist"))
+
 
+@query(f"WITH {_ITEM_PAIRS.format(chr(32) + 'WHERE a.l_returnflag = ' + chr(39) + 'N' + chr(39) + ' AND b.l_returnflag <> ' + chr(39) + 'N' + chr(39))} SELECT grp, i, j, round(dist, 6) AS dist FROM r WHERE rn = 1 AND dist < 0.8::DOUBLE * second")
+def knn_between(spark, d):
+    """From one set of points to another: the nearest, if clearly nearer than the second."""
+    return ranked(item_pairs(spark, d, "l_returnflag = 'N'", "l_returnflag <> 'N'")).where((F.col("rn") == 1) & (F.col("dist") < 0.8 * F.col("second"))).select("grp", "i", "j", F.round("dist", 6).alias("dist"))
 
-@query(f"WITH p AS ({_ITEM_PAIRS}), r AS (SELECT *, row_number() OVER (PARTITION BY grp, i ORDER BY dist, j) AS rn FROM p) SELECT a.grp, a.i, a.j FROM r a JOIN r b ON a.grp = b.grp AND a.i = b.j AND a.j = b.i AND a.rn = 1 AND b.rn = 1 AND a.i < a.j")
+
+@query(f"WITH {_ITEM_PAIRS.format(' AND a.l_linenumber <> b.l_linenumber')}, n AS MATERIALIZED (SELECT grp, i, j FROM r WHERE rn = 1), m AS (SELECT DISTINCT grp, least(i, j) AS i, greatest(i, j) AS j, count(*) OVER (PARTITION BY grp, least(i, j), greatest(i, j)) AS k FROM n) SELECT grp, i, j FROM m WHERE k = 2")
 def mutual_nn(spark, d):
-    w = Window.partitionBy("grp", "i").orderBy("dist", "j")
-    n = item_pairs(spark, d).withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    return n.join(n.select("grp", F.col("j").alias("i"), F.col("i").alias("j")), ["grp", "i", "j"]).where("i < j").select("grp", "i", "j")
+    """Pairs of points that are each other's nearest."""
+    n = ranked(item_pairs(spark, d).where("i <> j")).where("rn = 1")
+    return n.groupBy("grp", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.count("*").alias("k")).where("k = 2").select("grp", "i", "j")
 
 
 # ---- geometry ----------------------------------------------------------------------------------
@@ -458,15 +576,16 @@ def severity_top(spark, d):
     return votes(spark, d).orderBy(R.severity_rank(), F.desc("confidence"), "id1", "id2").limit(50).select("id1", "id2", "severity", "confidence")
 
 
-_PRED = "p AS (SELECT a.doc_id AS id1, b.doc_id AS id2 FROM documents a JOIN documents b ON md5(substr(a.text, 1, 60)) = md5(substr(b.text, 1, 60)) AND a.doc_id < b.doc_id), t AS (SELECT a.doc_id AS id1, b.doc_id AS id2 FROM documents a JOIN documents b ON md5(a.text) = md5(b.text) AND a.doc_id < b.doc_id)"
 _RATIO = "CASE WHEN {b} > 0 THEN round({a} / ({b}), 4) ELSE 0 END"
+_FOLDED = "regexp_replace(lower(text), '[ \\n\\t]+', ' ', 'g')"
+_PAIRS = "(SELECT coalesce(sum(n * (n - 1) / 2), 0)::BIGINT FROM (SELECT count(*) AS n FROM k GROUP BY {}))"
 
 
-@query(f"WITH {_PRED}, c AS (SELECT (SELECT count(*) FROM (SELECT * FROM p INTERSECT SELECT * FROM t)) AS tp, (SELECT count(*) FROM (SELECT * FROM p EXCEPT SELECT * FROM t)) AS fp, (SELECT count(*) FROM (SELECT * FROM t EXCEPT SELECT * FROM p)) AS fn) SELECT tp, fp, fn, {_RATIO.format(a='tp', b='tp + fp')} AS prec, {_RATIO.format(a='tp', b='tp + fn')} AS recall, {_RATIO.format(a='2 * tp', b='2 * tp + fp + fn')} AS f1 FROM c")
+@query(f"WITH k AS MATERIALIZED (SELECT md5({_FOLDED}) AS p, md5(text) AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT tp, pp - tp AS fp, tt - tp AS fn FROM (SELECT {_PAIRS.format('p, t')} AS tp, {_PAIRS.format('p')} AS pp, {_PAIRS.format('t')} AS tt)) SELECT tp, fp, fn, {_RATIO.format(a='tp', b='tp + fp')} AS prec, {_RATIO.format(a='tp', b='tp + fn')} AS recall, {_RATIO.format(a='2 * tp', b='2 * tp + fp + fn')} AS f1 FROM c")
 def prf_overall(spark, d):
-    """Pairs with equal beginnings as predictions of equal texts."""
-    docs = table(spark, d, "documents")
-    return R.precision_recall(C.exact_pairs(docs, "doc_id", F.md5(F.substring("text", 1, 60))), C.exact_pairs(docs, "doc_id", F.md5("text")))
+    """Pairs of texts that are equal but for case and white space, as predictions of equal texts; whole texts."""
+    docs = table(spark, d, "documents").where("text is not null")
+    return R.scores(C.agreement(docs, F.md5(F.regexp_replace(F.lower("text"), r"[ \n\t]+", " ")), F.md5("text")))
 
 
 @query("SELECT lang, toxic, count(*) AS total, sum(quality)::BIGINT AS hit, round(sum(quality) / count(*), 4) AS recall FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (toxic), ())")
@@ -478,7 +597,7 @@ def recall_by_dim(spark, d):
 
 @query(f"WITH {_NEAR} SELECT (SELECT count(*) FROM t) AS n, (SELECT count(*) FROM near) AS pairs, round((SELECT count(*) * (count(*) - 1) / 2 FROM t) / (SELECT count(*) FROM near), 4) AS gain")
 def optimisation_ratio(spark, d):
-    n = tile_table(spark, d).agg(F.count("*").alias("n"))
+    n = corpus(spark, d).agg(F.count("*").alias("n"))
     p = hamming_pairs(spark, d).agg(F.count("*").alias("pairs"))
     return n.crossJoin(p).select("n", "pairs", F.round(F.col("n") * (F.col("n") - 1) / 2 / F.col("pairs"), 4).alias("gain"))  # one row on either side
 
