@@ -15,6 +15,8 @@ the executors' memory (``n_blocks``).
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import math
 import pickle
 import tempfile
@@ -23,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +136,13 @@ def hash_sample(df: DataFrame, col: str, rows: int, total: int) -> list:
     return sorted(r[0] for r in kept.orderBy("h", RID).limit(rows).select(col).collect())
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---- arrays in binary columns ------------------------------------------------------------------
 def dump(*arrays) -> bytes:
     return pickle.dumps(arrays, protocol=5)
@@ -186,6 +196,7 @@ def exchange(blocks: DataFrame, emit: Callable[[pd.DataFrame], Iterator[tuple[in
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(k, b, int(pdf["block"].iloc[0]), d) for k, b, d in emit(pdf)]
+        trim()
         return pd.DataFrame(rows, columns=["kind", "bucket", "block", "data"])
 
     def owner(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RID, col_of, materialise, shuffle_partitions, with_rid
+from .common import RID, col_of, materialise, shuffle_partitions, trim, with_rid
 
 DIMS, BITS, BUCKETS = 3, 16, 1024
 _state: dict = {}
@@ -175,6 +175,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 keys = curve_keys([np.frombuffer(x, "<u4") for x in ids])
                 full = [x + end for x in ids]
                 yield pd.DataFrame({RID: part[RID].to_numpy(), "i": part["i"], "key": keys, "n": [len(x) // 4 for x in full], "ids": full})
+        trim()
 
     src = with_rid(docs.select(col_of(docs, id_col).cast("string").alias("i"), F.coalesce(col_of(docs, text_col).cast("string"), F.lit("")).alias("t")))
     coded = materialise(src.select(RID, "i", "t").mapInPandas(tokens, f"{RID} long, i string, key long, n long, ids binary"), "ids")
