@@ -2,8 +2,12 @@
 stage before has kept, and is written as Parquet and read again.
 
 toxicity drops texts that score 0.7 or more; near_duplicates keeps the smallest id of each component;
-decontamination drops contaminated texts; secrets masks findings in the texts and sets n_chars anew;
-packing returns the pieces.
+decontamination drops contaminated texts and those that hold a whole window of a benchmark item; secrets
+masks findings in the texts and sets n_chars anew; packing returns the pieces.
+
+Edge cases: null and empty texts are clean, link with nothing, hold no secret and are packed as the end
+id alone; repeated rows and null ids are treated row by row; an empty table gives empty tables; further
+columns are kept by all stages but the last, whatever their names (but ``__rid``).
 """
 
 from __future__ import annotations
@@ -44,7 +48,8 @@ STAGES = [
     ("packing", stage_packing),
 ]
 
-#: Classifiers, tokens and components of all documents are not SQL; tests hold the stages against brute force.
+#: Classifiers, tokens and components of all documents are not SQL; a test holds each stage's decisions
+#: against its operator's results and a brute force of the near duplicates and the passages.
 ORACLE_SQL = None
 
 
