@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rank import severity_rank
@@ -27,3 +27,11 @@ def html_report(matches: DataFrame, title: str, top: int = 200) -> str:
     body = "".join("<tr>" + "".join(f"<td>{html.escape(str(r[c]))}</td>" for c in cols) + "</tr>" for r in rows)
     find = "for(const r of document.querySelectorAll('tbody tr'))r.hidden=!r.innerText.toLowerCase().includes(this.value.toLowerCase())"
     return f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><input placeholder="search" oninput="{find}"><table border="1"><thead><tr>{"".join(f"<th>{html.escape(c)}</th>" for c in cols)}</tr></thead><tbody>{body}</tbody></table>'
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One file, through the file system that the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    out.write(text.encode())
+    out.close()
