@@ -194,7 +194,7 @@ def test_attention_gradient_and_base_score(docs):
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     x, y, w = r.integers(0, lm_score.CLASSES, (3, lm_score.WINDOW)), r.integers(0, lm_score.CLASSES, (3, lm_score.WINDOW)), np.ones((3, lm_score.WINDOW))
     _, g = net.gradient(x, y, w)
-    for k in ("q", "k", "v", "o", "h", "out", "pos"):
+    for k in ("q", "k", "v", "o", "h", "out", "pos", "own", "emb"):
         v = net.p[k]
         i = (1,) * v.ndim
         v[i] += 1e-4
@@ -219,6 +219,39 @@ def test_attention_gradient_and_base_score(docs):
     assert {r.train_tokens for r in rows} == {n} and all(r.score < 0 for r in rows)
 
 
+def test_classes_gather_ids_of_like_use_at_equal_mass():
+    r = np.random.default_rng(5)
+    texts = [np.ravel(np.column_stack([r.integers(0, 100, 200), r.integers(100, 200, 200)])) for _ in range(50)]  # low and high in turn
+    counts = np.bincount(np.concatenate(texts), minlength=210).astype(float)
+    cls, within = lm_score.make_classes(counts, texts)
+    mass = np.bincount(cls, weights=counts + 0.5, minlength=lm_score.CLASSES)
+    assert set(cls) == set(range(lm_score.CLASSES))
+    assert np.abs(mass - mass.mean()).max() <= 2 * (counts.max() + 0.5)  # a cut is off by one id at most, and later cuts halve that
+    assert np.bincount(cls, weights=10**within) == pytest.approx(np.ones(lm_score.CLASSES))
+    assert not set(cls[:100]) & set(cls[100:200])
+    flat, _ = lm_score.make_classes(np.zeros(210))
+    assert set(flat) <= set(range(lm_score.CLASSES))
+
+
+def test_attention_reads_ids_and_words_sum_to_one():
+    r = np.random.default_rng(6)
+    follows = r.permutation(200)  # each id's successor: known from the id, not from how frequent it is
+    texts = []
+    for _ in range(300):
+        t = [int(r.integers(200))]
+        while len(t) < 60:
+            t.append(int(follows[t[-1]]))
+        texts.append(np.array([*t, 200]))
+    counts = np.bincount(np.concatenate(texts), minlength=201).astype(float)
+    opens = np.arange(201) % 2 == 0
+    scorer = lm_score.Scorer(counts, texts[:250], opens)
+    lp, start = scorer.ids(texts[250:])
+    assert lp.mean() - scorer.within[np.concatenate(texts[250:])].mean() > -0.5 * np.log10(lm_score.CLASSES)
+    first = [scorer.ids([np.array([i])]) for i in range(201)]
+    assert sum(10 ** p[0][0] for p in first) == pytest.approx(1, abs=1e-3)
+    assert sum(10 ** p[0][0] for p, o in zip(first, opens, strict=True) if o) == pytest.approx(10 ** first[0][1][0], rel=1e-3)
+
+
 def test_every_position_is_scored_once():
     texts = [np.arange(n) % lm_score.CLASSES for n in (1, 31, 32, 33, 56, 57, 200)]
     x, y, of = lm_score.windows(texts)
