@@ -237,16 +237,16 @@ def test_attention_reads_ids_and_words_sum_to_one():
     r = np.random.default_rng(6)
     follows = r.permutation(200)  # each id's successor: known from the id, not from how frequent it is
     texts = []
-    for _ in range(300):
+    for _ in range(3000):
         t = [int(r.integers(200))]
         while len(t) < 60:
             t.append(int(follows[t[-1]]))
         texts.append(np.array([*t, 200]))
     counts = np.bincount(np.concatenate(texts), minlength=201).astype(float)
     opens = np.arange(201) % 2 == 0
-    scorer = lm_score.Scorer(counts, texts[:250], opens)
-    lp, start = scorer.ids(texts[250:])
-    assert lp.mean() - scorer.within[np.concatenate(texts[250:])].mean() > -0.5 * np.log10(lm_score.CLASSES)
+    scorer = lm_score.Scorer(counts, texts[:2900], opens)
+    lp, start = scorer.ids(texts[2900:])
+    assert lp.mean() - scorer.within[np.concatenate(texts[2900:])].mean() > -0.5 * np.log10(lm_score.CLASSES)
     first = [scorer.ids([np.array([i])]) for i in range(201)]
     assert sum(10 ** p[0][0] for p in first) == pytest.approx(1, abs=1e-3)
     assert sum(10 ** p[0][0] for p, o in zip(first, opens, strict=True) if o) == pytest.approx(10 ** first[0][1][0], rel=1e-3)
