@@ -6,8 +6,14 @@ its ids. An id's probability is that of its class, from the attention model, whi
 ids before it, times that of the id in its class, from counts over every training text of the corpus.
 Classes hold about equal shares of the counted ids and gather ids with like neighbours. A word is its ids, given that a word starts, and the start of another word behind
 them, so that words' probabilities sum to at most one. The model (one attention layer with position
-embeddings and one hidden layer, written in numpy) is trained by Adam on windows of a bounded sample
-of training texts (``sample_rows``), all of its windows; counts of ids and words cover all texts.
+embeddings and one hidden layer, written in numpy) is trained by Adam on every window of every
+training text, as are the classes; counts of ids and words cover all texts.
+
+Training is spread: the windows of the corpus are dealt by hash into ``ROUNDS`` parts, one after the
+other; a part is dealt into shards of about ``SHARD`` windows. Each shard starts from the network so
+far and goes once over its windows; the part's result is the shards' mean, by windows, and for an id's
+own embedding by how often each shard met the id. Corpora of fewer than ``LEAST`` windows are gone over
+again until that many windows were seen, at most four times. No task holds more than a shard.
 
 Scoring cuts a text into windows of ``WINDOW`` inputs that overlap by ``OVERLAP``; a window scores the
 positions the one before has not, with the overlap as context, so that each id is scored exactly
@@ -31,9 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, answers, col_of, cuts, dump, exchange, hash_sample, load, materialise, n_blocks, narrow, restore_id, runs, stored, to_blocks
+from .common import RID, answers, col_of, cuts, dump, exchange, load, materialise, n_blocks, narrow, restore_id, runs, stored, to_blocks, trim, with_rid
 
 WINDOW, OVERLAP, WIDTH, HIDDEN, CLASSES = 32, 8, 16, 24, 64
+ROUNDS, SHARD, SHARDS, LEAST = 4, 50_000, 1024, 100_000
+RANGES = 32  # of ids, in which counts and embeddings of many tasks are merged
 _state: dict = {}
 
 
@@ -74,33 +82,47 @@ def text_ids(texts: list[list[bytes]], path: str, limit: int = 500_000) -> list[
     return out
 
 
-def neighbours(texts: list[np.ndarray], cls: np.ndarray, classes: int) -> np.ndarray:
-    """For each id the square roots of the shares of classes (and of a text's rim) before and behind it, drawn to
-    those of all ids where it is rare: ids of like use lie near each other."""
+def side_counts(texts: list[np.ndarray], cls: np.ndarray, classes: int) -> np.ndarray:
+    """(2, ids, classes + 1): how often each class (and a text's rim) is before and behind each id."""
     every, k = np.concatenate(texts), classes + 1
     lens = np.array([len(t) for t in texts])
     ends = np.cumsum(lens)
     c = cls[every]
     before, behind = np.append(classes, c[:-1]), np.append(c[1:], classes)
     before[ends[:-1]], behind[ends - 1] = classes, classes
-    sides = []
-    for side in (before, behind):
-        n = np.bincount(every * k + side, minlength=len(cls) * k).reshape(len(cls), k) + 8 * np.bincount(side, minlength=k) / len(side)
-        sides.append(np.sqrt(n / n.sum(1, keepdims=True)))
-    return np.concatenate(sides, 1)
+    return np.stack([np.bincount(every * k + side, minlength=len(cls) * k).reshape(len(cls), k) for side in (before, behind)])
 
 
-def make_classes(counts: np.ndarray, texts: list[np.ndarray] = (), classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each id and log10 of its share there. Without texts: ids by falling count, cut at equal mass. With
-    texts, ids of like neighbours: all ids are halved at equal mass along the main direction of their
-    neighbours' shares, then each half, until there are ``classes`` (a power of two) of them."""
+def neighbours(sides: np.ndarray) -> np.ndarray:
+    """For each id the square roots of the shares of classes (and of a text's rim) before and behind it, drawn to
+    those of all ids where it is rare: ids of like use lie near each other."""
+    out = []
+    for side in sides:
+        n = side + 8 * side.sum(0) / side.sum()
+        out.append(np.sqrt(n / n.sum(1, keepdims=True)))
+    return np.concatenate(out, 1)
+
+
+def flat_classes(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """Class of each id: ids by falling count, cut at equal mass."""
     weight = counts + 0.5
     order = np.argsort(-counts, kind="stable")
     mass = np.cumsum(weight[order])
     cls = np.empty(len(counts), np.int64)
     cls[order] = np.minimum((mass - weight[order] / 2) / mass[-1] * classes, classes - 1).astype(np.int64)
+    return cls
+
+
+def make_classes(counts: np.ndarray, texts: list[np.ndarray] = (), classes: int = CLASSES, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each id and log10 of its share there. Without texts: ids by falling count, cut at equal mass. With
+    texts (or their ``sides``, counted before), ids of like neighbours: all ids are halved at equal mass along the main
+    direction of their neighbours' shares, then each half, until there are ``classes`` (a power of two) of them."""
+    weight = counts + 0.5
+    cls = flat_classes(counts, classes)
     if texts:
-        near, groups = neighbours(texts, cls, classes), [np.arange(len(counts))]
+        sides = side_counts(texts, cls, classes)
+    if sides is not None:
+        near, groups = neighbours(sides), [np.arange(len(counts))]
         while len(groups) < classes:
             halves = []
             for g in groups:
@@ -152,61 +174,80 @@ class Attention:
 
     def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
         """Mean loss and its gradient over positions of weight 1."""
+        loss, g, at, rows = self.sparse_gradient(x, y, weight)
+        g["own"] = np.zeros_like(self.p["own"])
+        g["own"][at] = rows
+        return loss, g
+
+    def sparse_gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
+        """As ``gradient``, but own embeddings' as the ids that occur and a row for each of them."""
         p = self.p
-        logits, (e, q, k, v, s, a, z, h) = self.forward(x)
-        logits = logits - logits.max(2, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(2, keepdims=True)
+        first = 0 if weight[:, :OVERLAP].any() else OVERLAP  # what is only context is not predicted
+        y, weight = y[:, first:], weight[:, first:]
+        d, (e, q, k, v, s, a, z, h) = self.forward(x, first)
+        np.clip(d, -60, 60, out=d)
+        np.exp(d, out=d)
+        d /= (d @ np.ones(CLASSES, d.dtype))[..., None]
         n = weight.sum()
-        at = np.take_along_axis(prob, y[..., None], 2)[..., 0]
-        d = prob
-        np.put_along_axis(d, y[..., None], np.take_along_axis(d, y[..., None], 2) - 1, 2)
-        d = d * (weight / n)[..., None].astype(np.float32)
+        row, col, own = *np.indices(y.shape, sparse=True), y
+        at = d[row, col, own]
+        d[row, col, own] -= 1
+        d *= (weight / n)[..., None].astype(d.dtype)
         flat = lambda t: t.reshape(-1, t.shape[-1])
         g = {"out": flat(h).T @ flat(d), "b": flat(d).sum(0)}
-        dh = (d @ p["out"].T) * (h > 0)
-        g["h"], g["hb"] = flat(z).T @ flat(dh), flat(dh).sum(0)
-        dz = dh @ p["h"].T
-        de = dz[..., :WIDTH].copy()
+        dh = flat(d) @ p["out"].T
+        dh *= flat(h) > 0
+        g["h"], g["hb"] = flat(z).T @ dh, dh.sum(0)
+        dz = (dh @ p["h"].T).reshape(z.shape)
         do = dz[..., WIDTH:]
         g["o"] = flat(a).T @ flat(do)
         da = do @ p["o"].T
         ds = da @ v.transpose(0, 2, 1)
         dv = s.transpose(0, 2, 1) @ da
-        ds = s * (ds - (ds * s).sum(2, keepdims=True))
+        ds -= np.einsum("bij,bij->bi", ds, s)[..., None]
+        ds *= s
         scale = np.float32(1 / math.sqrt(WIDTH))
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["q"], g["k"], g["v"] = flat(e).T @ flat(dq) * scale, flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-        de += dq @ p["q"].T * scale + dk @ p["k"].T + dv @ p["v"].T
+        g["q"], g["k"], g["v"] = flat(e[:, first:]).T @ flat(dq) * scale, flat(e).T @ flat(dk), flat(e).T @ flat(dv)
+        de = dk @ p["k"].T + dv @ p["v"].T
+        de[:, first:] += dz[..., :WIDTH] + dq @ p["q"].T * scale
         g["pos"] = de.sum(0)
+        order = np.argsort(x, axis=None, kind="stable")
+        ids = x.ravel()[order]
+        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        rows = np.add.reduceat(flat(de)[order], starts)
         g["emb"] = np.zeros_like(p["emb"])
-        np.add.at(g["emb"], self.cls[x.ravel()], flat(de))
-        g["own"] = np.zeros_like(p["own"])
-        np.add.at(g["own"], x.ravel(), flat(de))
-        return float(-(np.log(at + 1e-12) * weight).sum() / n), g
+        np.add.at(g["emb"], self.cls[ids[starts]], rows)
+        return float(-(np.log(at + 1e-12) * weight).sum() / n), g, ids[starts], rows
 
-    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 2, batch: int = 64, rate: float = 0.01, seed: int = 2) -> float:
+    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 2, batch: int = 64, rate: float = 0.01, seed: int = 2, span: tuple[float, float] = (0.0, 1.0)) -> float:
+        """``span`` is the part of the whole training, from 0 to 1, that these windows are."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step, loss, steps = 0, 0.0, max(1, epochs * -(-len(x) // batch))
+        opens = weight[:, :OVERLAP].any(1)
+        parts = [np.flatnonzero(opens), np.flatnonzero(~opens)]
+        step, loss, steps = 0, 0.0, max(1, epochs * sum(-(-len(i) // batch) for i in parts))
         for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for lo in range(0, len(x), batch):
-                i = order[lo : lo + batch]
+            batches = [i[lo : lo + batch] for i in map(rng.permutation, parts) for lo in range(0, len(i), batch)]
+            for i in map(batches.__getitem__, rng.permutation(len(batches))):
                 if not weight[i].sum():
                     continue
-                loss, g = self.gradient(x[i], y[i], weight[i])
+                loss, g, ids, rows = self.sparse_gradient(x[i], y[i], weight[i])
                 step += 1
-                lr = rate * (1 - 0.95 * step / steps)
-                for k, v in g.items():
-                    at = np.unique(x[i]) if k == "own" else slice(None)  # ids that a batch lacks rest
-                    m[k][at] = 0.9 * m[k][at] + 0.1 * v[at]
-                    s[k][at] = 0.99 * s[k][at] + 0.01 * v[at] * v[at]
-                    self.p[k][at] -= (lr * (m[k][at] / (1 - 0.9**step)) / (np.sqrt(s[k][at] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-        self.table = self.p["emb"][self.cls] + self.p["own"]
+                lr = rate * (1 - 0.95 * (span[0] + (span[1] - span[0]) * step / steps))
+                for k, at, v in (*((k, slice(None), v) for k, v in g.items()), ("own", ids, rows)):  # ids that a batch lacks rest
+                    first = 0.9 * m[k][at] + 0.1 * v
+                    second = 0.99 * s[k][at] + 0.01 * v * v
+                    m[k][at], s[k][at] = first, second
+                    self.p[k][at] -= (lr * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        self.finish()
         return loss
 
+    def finish(self) -> None:
+        """To be called when ``p`` has changed: the sum of both embeddings of each id."""
+        self.table = self.p["emb"][self.cls] + self.p["own"]
+
 
 def windows(texts: list[np.ndarray], start: int = CLASSES):
     """Inputs (n, WINDOW), targets, and which text each scored position is of (-1: not scored here)."""
@@ -229,8 +270,8 @@ def windows(texts: list[np.ndarray], start: int = CLASSES):
 class Scorer:
     """``opens`` marks the ids that start a word; the end is one of them."""
 
-    def __init__(self, counts: np.ndarray, sample: list[np.ndarray], opens: np.ndarray, train_windows: int | None = None):
-        self.cls, self.within = make_classes(counts, sample)
+    def __init__(self, counts: np.ndarray, sample: list[np.ndarray], opens: np.ndarray, train_windows: int | None = None, sides: np.ndarray | None = None):
+        self.cls, self.within = make_classes(counts, sample, sides=sides)
         self.opens = opens
         self.share = np.bincount(self.cls, weights=opens * 10**self.within, minlength=CLASSES).astype(np.float32)
         self.net = Attention(self.cls)
@@ -278,7 +319,154 @@ def mixed(word: np.ndarray, share: np.ndarray, word_share: float) -> np.ndarray:
         return np.logaddexp(np.log(word_share * share), word * math.log(10) + math.log1p(-word_share)) / math.log(10)
 
 
-def score_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, sample_rows: int = 600, word_share: float = 0.5) -> DataFrame:
+def id_type(end: int) -> str:
+    return "<u2" if end < 1 << 16 else "<u4"
+
+
+def encoded(texts: DataFrame, tokenizer_path: str, end: int, rows: int = 16) -> DataFrame:
+    """(r, texts, windows, ids) for every ``rows`` texts of column t: their ids end to end, each text closed by the end id."""
+
+    def run(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), rows):
+                ids = text_ids([split_words(t) for t in pdf["t"].iloc[lo : lo + rows]], tokenizer_path)
+                n = sum(1 + max(0, -(-(len(i) - WINDOW) // (WINDOW - OVERLAP))) for i in ids)
+                yield pd.DataFrame({"r": [int(pdf[RID].iloc[lo])], "texts": [len(ids)], "windows": [n], "ids": [np.concatenate(ids).astype(id_type(end)).tobytes()]})
+        trim()
+
+    return materialise(with_rid(texts.select("t")).mapInPandas(run, "r long, texts long, windows long, ids binary"), "ids")
+
+
+def decoded(data: bytes, end: int) -> list[np.ndarray]:
+    """The texts of a row of ``encoded``."""
+    ids = np.frombuffer(data, id_type(end)).astype(np.int64)
+    return np.split(ids, np.flatnonzero(ids == end)[:-1] + 1)
+
+
+def _ranges(n: int) -> np.ndarray:
+    return np.arange(RANGES + 1) * n // RANGES
+
+
+def count_ids(table: DataFrame, end: int) -> np.ndarray:
+    """How often each id occurs in all rows of ``encoded``."""
+
+    def run(batches):
+        n = np.zeros(end + 1, np.int64)
+        for pdf in batches:
+            for d in pdf["ids"]:
+                n += np.bincount(np.frombuffer(d, id_type(end)), minlength=end + 1)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"id": at, "n": n[at]})
+
+    out = np.zeros(end + 1)
+    for r in table.select("ids").mapInPandas(run, "id long, n long").groupBy("id").sum("n").collect():  # one row per id of the vocabulary in all
+        out[r[0]] = r[1]
+    return out
+
+
+def count_sides(table: DataFrame, cls: np.ndarray, end: int, classes: int = CLASSES) -> np.ndarray:
+    """``side_counts`` over all rows of ``encoded``."""
+    k, at = classes + 1, _ranges(end + 1)
+
+    def run(batches):
+        n = np.zeros((2, end + 1, k), np.int64)
+        for pdf in batches:
+            for lo in range(0, len(pdf), 64):
+                n += side_counts([t for d in pdf["ids"].iloc[lo : lo + 64] for t in decoded(d, end)], cls, classes)
+        data = []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            flat = n[:, a:b].ravel()
+            on = np.flatnonzero(flat)
+            data.append(dump(on.astype(np.uint32), narrow(flat[on])))
+        yield pd.DataFrame({"part": range(RANGES), "data": data})
+        trim()
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = int(pdf["part"].iloc[0])
+        n = np.zeros(2 * int(at[part + 1] - at[part]) * k, np.int64)
+        for on, v in map(load, pdf["data"]):
+            n[on] += v.astype(np.int64)
+        on = np.flatnonzero(n)
+        return pd.DataFrame({"part": [part], "data": [dump(on.astype(np.uint32), narrow(n[on]))]})
+
+    tasks = max(1, table.rdd.getNumPartitions() // 4)
+    out = np.zeros((2, end + 1, k), np.int64)
+    for part, data in table.select("ids").coalesce(tasks).mapInPandas(run, "part int, data binary").groupBy("part").applyInPandas(merge, "part int, data binary").collect():
+        on, v = load(data)
+        n = np.zeros(2 * int(at[part + 1] - at[part]) * k, np.int64)
+        n[on] = v
+        out[:, at[part] : at[part + 1]] = n.reshape(2, -1, k)
+    return out
+
+
+def train_round(net: Attention, table: DataFrame, shards: int, end: int, span: tuple[float, float]) -> int:
+    """One pass of each shard over its windows, then the shards' mean; returns the number of windows."""
+    old, at = {k: v.copy() for k, v in net.p.items()}, _ranges(len(net.cls))
+    cls = net.cls[:-1]
+
+    def run(batches):
+        rows = sorted((int(r), int(n), d) for pdf in batches for r, n, d in zip(pdf["r"], pdf["windows"], pdf["ids"], strict=True))
+        if not rows:
+            return
+        mine, seen, total = Attention(cls), np.zeros(len(cls) + 1, np.int64), sum(n for _, n, _ in rows)
+        mine.p = {k: v.copy() for k, v in old.items()}
+        order, done, lo = np.random.default_rng(rows[0][0]).permutation(len(rows)), 0, 0
+        while lo < len(order):  # a shard of a vast corpus goes in slices
+            hi, n = lo, 0
+            while hi < len(order) and (hi == lo or n + rows[order[hi]][1] <= 2 * SHARD):
+                n += rows[order[hi]][1]
+                hi += 1
+            x, y, of = windows([t for i in order[lo:hi] for t in decoded(rows[i][2], end)], len(cls))
+            part = [span[0] + (span[1] - span[0]) * d / total for d in (done, done + n)]
+            mine.table = None  # it trains on
+            mine.train(x, cls[y], (of >= 0).astype(np.float64), epochs=1, seed=lo, span=tuple(part))
+            seen += np.bincount(x.ravel(), minlength=len(seen))
+            lo, done = hi, done + n
+        small = {k: v for k, v in mine.p.items() if k != "own"}
+        data = [dump(small, total), *(dump(mine.p["own"][a:b] - old["own"][a:b], seen[a:b]) for a, b in zip(at[:-1], at[1:], strict=True))]
+        yield pd.DataFrame({"part": range(-1, RANGES), "shard": rows[0][0], "data": data})
+        trim()
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        part, got = int(pdf["part"].iloc[0]), (load(d) for d in pdf.sort_values("shard")["data"])  # sums in a fixed order
+        if part < 0:
+            every, total = {k: np.zeros(v.shape) for k, v in old.items() if k != "own"}, 0
+            for p, n in got:
+                total += n
+                for k, v in p.items():
+                    every[k] += n * v.astype(np.float64)
+            return pd.DataFrame({"part": [part], "data": [dump({k: (v / total).astype(np.float32) for k, v in every.items()}, total)]})
+        move, met = np.zeros((int(at[part + 1] - at[part]), WIDTH)), 0
+        for d, n in got:
+            move += n[:, None] * d.astype(np.float64)
+            met = met + n
+        return pd.DataFrame({"part": [part], "data": [dump((move / np.maximum(met, 1)[:, None]).astype(np.float32))]})
+
+    windows_seen = 0
+    for part, data in table.repartition(shards, "r").mapInPandas(run, "part int, shard long, data binary").groupBy("part").applyInPandas(merge, "part int, data binary").collect():
+        got = load(data)
+        if part < 0:
+            net.p.update(got[0])
+            windows_seen = got[1]
+        else:
+            net.p["own"][at[part] : at[part + 1]] += got[0]
+    net.finish()
+    return windows_seen
+
+
+def train_corpus(net: Attention, table: DataFrame, end: int, total: int) -> int:
+    """Trains on every one of the ``total`` windows of ``encoded``'s rows; returns how many were seen."""
+    if not total:
+        return 0
+    rounds, seen = ROUNDS * min(4, -(-LEAST // total)), 0
+    shards = min(SHARDS, max(1, round(total / ROUNDS / SHARD)))
+    for k in range(rounds):
+        part = table.where(F.pmod(F.xxhash64("r"), F.lit(ROUNDS)) == k % ROUNDS)
+        seen += train_round(net, part, shards, end, (k / rounds, (k + 1) / rounds))
+    return seen
+
+
+def score_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, word_share: float = 0.5) -> DataFrame:
     """(__rid, id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) per document."""
     docs = stored(docs)
     count = n_blocks(docs, 4)
@@ -298,21 +486,10 @@ def score_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         for b in range(count):
             if at[b] < at[b + 1]:
                 yield 0, b, dump(keys[at[b] : at[b + 1]], narrow(counts[at[b] : at[b + 1]]))
-        ids = text_ids([w for w, use in zip(split, train, strict=True) if use], tokenizer_path)
-        if ids:
-            used, n = np.unique(np.concatenate(ids), return_counts=True)
-            at = cuts(used.astype(np.uint64) << np.uint64(48), min(count, 64))
-            for b in range(min(count, 64)):
-                if at[b] < at[b + 1]:
-                    yield 1, b, dump(used[at[b] : at[b + 1]].astype(np.uint64), n[at[b] : at[b + 1]])
 
     def merge(kind: int, data: list[tuple]) -> list[bytes]:
         group, n, at = runs([d[0] for d in data])
         total = np.bincount(group, weights=np.concatenate([d[1] for d in data]), minlength=n).astype(np.int64)
-        if kind == 1:  # only one copy is needed
-            ids = np.zeros(n, np.int64)
-            ids[group] = np.concatenate([d[0] for d in data]).astype(np.int64)
-            return [dump(ids, total), *[b""] * (len(data) - 1)]
         known = int((total > 0).sum()), int(total.sum())
         return [dump(narrow(total[group[a:b]]), *(known if not a else (0, 0))) for a, b in zip(at[:-1], at[1:], strict=True)]
 
@@ -323,16 +500,17 @@ def score_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             got = [load(d)[1:] for d in pdf["data"]]
             yield pd.DataFrame({"v": [sum(g[0] for g in got)], "n": [sum(g[1] for g in got)]})
 
-    v, n = told.where("kind = 0").select("data").mapInPandas(sums, "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    v, n = told.select("data").mapInPandas(sums, "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     texts = docs.where(fold != held).select(F.coalesce(col_of(docs, text_col).cast("string"), F.lit("")).alias("t"))
-    n_train = texts.count()
-    v, n = v + (n_train > 0), n + n_train
     _encoding(tokenizer_path)
-    id_counts = np.zeros(_state["end"] + 1)
-    for r in told.where("kind = 1 and length(data) > 0").select("data").collect():  # one entry per id of the vocabulary in all
-        ids, c = load(r[0])
-        id_counts[ids] += c
-    scorer = Scorer(id_counts, text_ids([split_words(t) for t in hash_sample(texts, "t", sample_rows, n_train)], tokenizer_path), _state["opens"])
+    end = _state["end"]
+    table = encoded(texts, tokenizer_path, end)
+    n_train, n_windows = table.agg(F.coalesce(F.sum("texts"), F.lit(0)), F.coalesce(F.sum("windows"), F.lit(0))).first()
+    v, n = v + (n_train > 0), n + n_train
+    id_counts = count_ids(table, end)
+    sides = count_sides(table, flat_classes(id_counts), end) if n_train else None
+    scorer = Scorer(id_counts, [], _state["opens"], sides=sides)
+    train_corpus(scorer.net, table, end, n_windows)
     floor = n + 0.5 * (v + 1)
 
     def score(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
@@ -357,5 +535,5 @@ def score_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             scores.append(np.add.reduceat(per_word, upto[lo:hi] - upto[lo] + np.arange(hi - lo)))
         return pd.DataFrame({RID: pdf[RID].to_numpy(), "id": pdf["id"].to_numpy(), "held_out": ~pdf["train"].to_numpy(), "n_tokens": lens + 1, "n_known": known, "base_score": base, "score": np.concatenate(scores)})
 
-    out = blocks.groupBy("block").cogroup(told.where("kind = 0").groupBy("block")).applyInPandas(score, f"{RID} long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(score, f"{RID} long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(RID, restore_id("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
