@@ -129,13 +129,6 @@ def in_sample(col: str, rows: int, total: int) -> Column:
     return F.pmod(F.xxhash64(F.col(col)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(1, total)))
 
 
-def hash_sample(df: DataFrame, col: str, rows: int, total: int) -> list:
-    """At most ``rows`` values of a column, of about as many rows chosen by the hash of their number:
-    copies are chosen one by one, and the same stored table gives the same sample."""
-    kept = with_rid(df.select(col)).withColumn("h", F.xxhash64(RID)).where(in_sample(RID, rows, total))
-    return sorted(r[0] for r in kept.orderBy("h", RID).limit(rows).select(col).collect())
-
-
 def trim() -> None:
     """Give freed memory back to the system: Python workers live on between stages."""
     pa.default_memory_pool().release_unused()

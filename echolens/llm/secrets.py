@@ -8,7 +8,8 @@ cover, whether it is part of a path or address, and the words beside it.
 Labelled findings: the tables have none, so ``labelled_findings`` makes them by rule from a fixed
 seed - keys of the common forms in secret-like contexts, and the look-alikes that scanners report by
 mistake (digests of files and commits, UUIDs, placeholders, paths, long words, numbers) in theirs -
-with neighbouring words from the bounded dictionary sample (``dictionary_rows`` documents).
+with neighbouring words from the dictionary: the ``dictionary_words`` most frequent words of all texts,
+as an ordinary word is a frequent one.
 
 Edge cases: null and empty texts have no candidates; very long texts are scanned whole; repeated
 rows are scanned one by one; spans are in code points, end exclusive, sorted and disjoint; an empty
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, col_of, hash_sample, with_rid
+from .common import RID, col_of, with_rid
 
 NAMES = r"password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer"
 _NAME = rf"(?:{NAMES})[a-z_]{{0,12}}"
@@ -276,12 +277,27 @@ class Scanner:
         return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", dictionary_rows: int = 2000, dictionary_words: int = 20_000) -> Scanner:
-    """A scanner whose dictionary is a bounded sample's most frequent words."""
+def word_counts(docs: DataFrame, text_col: str = "text", limit: int = 200_000) -> DataFrame:
+    """(w, n): how often each word occurs in all texts. A task hands on its counts at ``limit`` words."""
+
+    def run(batches):
+        n: Counter = Counter()
+        for pdf in batches:
+            for t in map(str.lower, pdf["t"]):
+                n.update(re.findall("[a-z]+", t) if len(t) < 1 << 20 else (m[0] for m in re.finditer("[a-z]+", t)))
+                if len(n) > limit:
+                    yield pd.DataFrame({"w": list(n), "n": list(n.values())})
+                    n.clear()
+        if n:
+            yield pd.DataFrame({"w": list(n), "n": list(n.values())})
+
     rows = docs.select(col_of(docs, text_col).cast("string").alias("t")).where("t is not null")
-    sample = hash_sample(rows, "t", dictionary_rows, rows.count())
-    c = Counter(w for t in sample for w in re.findall(r"[a-z]+", t.lower()))
-    return Scanner([w for w, _ in sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))[:dictionary_words]])
+    return rows.mapInPandas(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, text_col: str = "text", dictionary_words: int = 20_000) -> Scanner:
+    """A scanner whose dictionary is the most frequent words of all texts."""
+    return Scanner([r.w for r in word_counts(docs, text_col).orderBy(F.desc("n"), "w").limit(dictionary_words).collect()])
 
 
 def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

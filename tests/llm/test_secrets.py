@@ -66,3 +66,14 @@ def test_short_candidates_are_as_before():
         t = "".join(r.choice(parts, 16))
         want = [m.span("run" if m["value"] is None else "value") for m in old.finditer(t)]
         assert {x for x in want} <= {m.span("run" if m["value"] is None else "value") for m in secrets.CANDIDATE.finditer(t)}, t
+
+
+def test_dictionary_has_the_words_of_every_text(spark, tmp_path):
+    letters = "abcdefghij"
+    own = ["".join(letters[int(c)] for c in f"{k:06d}") for k in range(3000)]
+    rows = [(k, f"Some {w.upper()} word-{w}") for k, w in enumerate(own)] + [(3000, None), (3001, ""), (3002, "x " * 600_000 + "rarely")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    assert {r.w: r.n for r in secrets.word_counts(docs, limit=500).collect()} == {**dict.fromkeys(own, 2), "some": 3000, "word": 3000, "x": 600_000, "rarely": 1}
+    assert secrets.fit(docs).words.words == {*own, "some", "word", "rarely"}
+    assert secrets.fit(docs, dictionary_words=4).words.words == {"some", "word", own[0]}
