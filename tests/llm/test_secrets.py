@@ -77,3 +77,18 @@ def test_dictionary_has_the_words_of_every_text(spark, tmp_path):
     assert {r.w: r.n for r in secrets.word_counts(docs, limit=500).collect()} == {**dict.fromkeys(own, 2), "some": 3000, "word": 3000, "x": 600_000, "rarely": 1}
     assert secrets.fit(docs).words.words == {*own, "some", "word", "rarely"}
     assert secrets.fit(docs, dictionary_words=4).words.words == {"some", "word", own[0]}
+
+
+def test_pipeline_stage_learns_from_all_that_is_kept(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    letters = "abcdefghij"
+    own = ["".join(letters[int(c)] for c in f"{k:06d}") for k in range(2600)]
+    rows = [(k, f"some {w} here", "en") for k, w in enumerate(own)] + [(2600, 'password = "Xk29vQp7rT4zLm8w" here', "en"), (2601, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    used, redact = [], secrets.redact
+    monkeypatch.setattr(secrets, "redact", lambda d, scanner: used.append(scanner) or redact(d, scanner))
+    out = {r.doc_id: r.text for r in corpus_pipeline.stage_secrets(spark, docs, "").collect()}
+    assert used[0].words.words == {*own, "some", "here", "password"}
+    assert out == {**{k: t for k, t, _ in rows}, 2600: 'password = "[SECRET]" here'}
