@@ -15,7 +15,8 @@ from every document above that one. Equality is always decided on bytes; hashes
 There are two exchanges (``common.exchange``). In the first, blocks send their distinct triggers, by 48
 bits; most occur in one block only, and that block sorts its own phrases. In the second, the phrases of
 triggers that several blocks hold go, with their bytes and smallest document, to the owner of the
-trigger's range, who sorts them. A trigger of more than ``hot`` phrases (some string of GRAM bytes in
+trigger's range, who sorts them. Triggers are mixed once more before: the smallest of many hashes lie
+low, and the first ranges would hold most of them. A trigger of more than ``hot`` phrases (some string of GRAM bytes in
 very many contexts) is not gathered: its windows go singly, by their own hashes, to owners of their own.
 A block sends each distinct phrase, trigger or window once, so a passage in a third of all documents is
 a single row per block. Triggers that agree in 48 bits only share an owner.
@@ -127,7 +128,7 @@ class Block:
                 key.append(_phrase_key(window[first], window[first + run - 1], run))
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.doc, self.at, self.length = cat(doc, np.int64), cat(at, np.int64), cat(length, np.int64)
-        self.trigger, key = cat(trigger, np.uint64), cat(key, np.uint64)
+        self.trigger, key = mix64(cat(trigger, np.uint64)), cat(key, np.uint64)
         for salt in range(100):
             _, self.first, self.phrase = np.unique(key, return_index=True, return_inverse=True)
             odd = self._unlike(np.flatnonzero(self.first[self.phrase] != np.arange(len(key))))

@@ -80,3 +80,12 @@ def test_ids_are_kept_whole():
     for ids in ([], [0], [5, 1 << 20, 3], [-1, (1 << 63) - 1, -(1 << 63), 7]):
         x = np.array(ids, np.int64)
         assert suffix_dedup._unpack(suffix_dedup._pack(x)).tolist() == ids
+
+
+def test_triggers_are_dealt_evenly():
+    r = np.random.default_rng(9)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    rows = pd.DataFrame({"__rid": range(20), "id": range(20), "text": ["".join(r.choice(letters, 10_000)) for _ in range(20)]})
+    b = suffix_dedup.Block(rows, 50)
+    share = np.diff(suffix_dedup.cuts(np.sort(b.trigger[b.first]), 64)) / len(b.first)
+    assert share.max() < 2 / 64 and share.min() > 0.5 / 64, share
