@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,9 +30,8 @@ from .common import RID, col_of, materialise, shuffle_partitions, trim, with_rid
 
 DIMS, BITS, BUCKETS = 3, 16, 1024
 _state: dict = {}
-_CTRL = re.compile("[\x1c-\x1f]|<\\|")
+_ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"  # no apostrophe: the pre-tokenizer knows endings such as 's
-_WHOLE = re.compile(f"[{_LETTERS}]+")
 _PLAIN, _PIECE = re.compile(f"[{_LETTERS}0-9{_MARKS}]+"), re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
 
 
@@ -48,7 +47,7 @@ def _tokenizer(path: str):
         sign = np.where((ids >> np.uint64(63)).astype(bool), 1.0, -1.0)
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level BPE
         shown = dict(zip([*kept, *sorted(set(range(256)) - set(kept))], map(chr, [*kept, *range(256, 512 - len(kept))]), strict=True))
-        _state.update(path=path, tok=tok, words={}, pieces={}, model=tok.model, shown=shown, proj=proj, bucket=((ids >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64), sign=sign)
+        _state.update(path=path, tok=tok, pieces={}, before={}, model=tok.model, shown=shown, proj=proj, bucket=((ids >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64), sign=sign)
     return _state["tok"]
 
 
@@ -59,47 +58,53 @@ def _piece_ids(piece: str) -> bytes:
     return array("I", [t.id for t in _state["model"].tokenize(piece)]).tobytes()
 
 
-def _learn(words: list[str], limit: int) -> dict[str, bytes]:
+def _known(pieces: list[str], limit: int) -> list[bytes]:
+    """Ids of pieces, through two bounded caches: what the young one gathers till it is full, and what it
+    held before, from which a piece that comes again goes back to the young one."""
+    young, old, out = _state["pieces"], _state["before"], []
+    for p in pieces:
+        ids = young.get(p)
+        if ids is None:
+            if len(young) >= limit:
+                _state["before"], _state["pieces"] = old, young = young, {}
+            young[p] = ids = old.get(p) or _piece_ids(p)
+        out.append(ids)
+    return out
+
+
+def _learn(words: list[str], limit: int) -> list[bytes]:
     """Ids of distinct words. Words of Latin letters, digits and marks fall into the pieces that the
     pre-tokenizer would cut (lower-cased, as its normaliser would), so each piece is encoded once
     whatever its case and the marks around it; other words go through the tokenizer whole."""
-    tok, pieces = _state["tok"], _state["pieces"]
-    if len(pieces) > limit:
-        pieces.clear()
-    out, cut = {}, {}
-    for w in words:
-        if _PLAIN.fullmatch(w):
-            low = w.lower()
-            if _WHOLE.fullmatch(low):
-                out[w] = low
-            else:
-                cut[w] = tuple(_PIECE.findall(low))
-    for p in {*out.values(), *chain.from_iterable(cut.values())}:
-        if p not in pieces:
-            pieces[p] = _piece_ids(p)
-    out = {w: pieces[p] for w, p in out.items()}
-    for w, c in cut.items():
-        out[w] = b"".join([pieces[p] for p in c])
-    other = [w for w in words if w not in out]
-    for w, e in zip(other, tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
-        out[w] = array("I", e.ids).tobytes()
+    pieces, size, other = [], [], []
+    for k, w in enumerate(words):
+        if w.isascii() and w.isalpha():
+            pieces.append(w.lower())
+            size.append(1)
+        elif _PLAIN.fullmatch(w):
+            cut = _PIECE.findall(w.lower())
+            pieces += cut
+            size.append(len(cut))
+        else:
+            other.append(k)
+            size.append(0)
+    ids = iter(_known(pieces, limit))
+    out = [next(ids) if n == 1 else b"".join(islice(ids, n)) for n in size]
+    for k, e in zip(other, _state["tok"].encode_batch_fast([words[k] for k in other], add_special_tokens=False), strict=True):
+        out[k] = array("I", e.ids).tobytes()
     return out
 
 
-def encode(texts: list[str], path: str, limit: int = 100_000) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit, through bounded caches of words and pieces.
+def encode(texts: list[str], path: str, limit: int = 150_000) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit, through bounded caches of pieces.
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids laid
     end to end; the few texts with control characters or special tokens go through it whole."""
     tok = _tokenizer(path)
-    known = _state["words"]
-    if len(known) > limit:
-        known.clear()
-    odd = {k: np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for k, t in enumerate(texts) if _CTRL.search(t)}
+    odd = {k: np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for k, t in enumerate(texts) if any(map(t.__contains__, _ODD))}
     split = pc.ascii_split_whitespace(pa.array(["" if k in odd else t for k, t in enumerate(texts)], pa.large_string()))
     coded = split.flatten().dictionary_encode()
-    words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-    known.update(_learn([w for w in words if w not in known], limit))
-    parts = [known[w] for w in words]
+    codes = coded.indices.to_numpy()
+    parts = _learn(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), limit)
     size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
     flat = np.frombuffer(b"".join(parts), "<u4")
     length = size[codes]

@@ -350,3 +350,16 @@ def test_words_ids_are_the_tokenizers():
     want = [e.ids for e in packing._tokenizer(path).encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):  # with an empty and with a filled cache
         assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode(texts, path)] == want
+
+
+def test_frequent_words_stay_in_bounded_caches(monkeypatch):
+    path, seen = queries.WORD_BPE, []
+    tok, piece_ids = packing._tokenizer(path), packing._piece_ids
+    monkeypatch.setattr(packing, "_piece_ids", lambda p: seen.append(p) or piece_ids(p))
+    own = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:05d}")
+    often = [f"often{own(k)}" for k in range(40)]
+    for call in range(20):
+        text = " ".join([*often, *(f"{own(80 * call + k)}, {own(80 * call + k).upper()}" for k in range(80))])
+        assert np.frombuffer(packing.encode([text], path, limit=100)[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert len(packing._state["pieces"]) <= 200
+    assert len([p for p in seen if p in often]) <= 10 * len(often)
