@@ -33,6 +33,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,21 +67,44 @@ def _encoding(path: str):
     return _state["enc"]
 
 
-def text_ids(texts: list[list[bytes]], path: str, limit: int = 500_000) -> list[np.ndarray]:
-    """Subword ids of texts given as words, each word with a space before it, then the end id. A
-    bounded cache holds words already encoded."""
+def distinct_words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of texts (as ``split_words`` cuts them), which of them each word is, and how many words each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    flat = split.flatten()
+    word = pc.binary_length(flat).to_numpy() > 0  # white space at a rim leaves an empty piece
+    upto = np.append(0, np.cumsum(word))[split.offsets.to_numpy()]
+    coded = flat.cast(pa.large_binary()).filter(pa.array(word)).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.diff(upto)
+
+
+def coded_ids(words: list[bytes], codes: np.ndarray, lens: np.ndarray, path: str, limit: int = 400_000) -> list[np.ndarray]:
+    """Subword ids of texts as ``distinct_words`` gives them, each word with a space before it, then the
+    end id. A bounded cache holds words already encoded."""
     enc = _encoding(path)
     known = _state["words"]
-    out = []
-    for words in texts:
-        if len(known) > limit:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = np.array(enc._encode_single_piece(b" " + w), "<u4").tobytes()
-        ids = np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
-        out.append(np.append(ids, _state["end"]).astype(np.int64))
-    return out
+    if len(known) > limit:
+        known.clear()
+    parts = []
+    for w in words:
+        ids = known.get(w)
+        if ids is None:
+            known[w] = ids = np.array(enc._encode_single_piece(b" " + w), "<u4").tobytes()
+        parts.append(ids)
+    size = np.append(np.fromiter(map(len, parts), np.int64, len(parts)) // 4, 1)
+    flat = np.append(np.frombuffer(b"".join(parts), "<u4"), _state["end"]).astype(np.int64)
+    ends = np.cumsum(lens)
+    codes = np.insert(codes.astype(np.int64), ends, len(parts))  # the end stands for a last word
+    length = size[codes]
+    upto = np.append(0, np.cumsum(length))
+    ids = flat[np.repeat((np.cumsum(size) - size)[codes] - upto[:-1], length) + np.arange(upto[-1])]
+    return np.split(ids, upto[ends[:-1] + np.arange(1, len(ends))])
+
+
+def text_ids(texts: list[list[bytes]], path: str) -> list[np.ndarray]:
+    """``coded_ids`` of texts given as words."""
+    at: dict[bytes, int] = {}
+    codes = np.array([at.setdefault(w, len(at)) for words in texts for w in words], np.int64)
+    return coded_ids(list(at), codes, np.array([len(words) for words in texts]), path)
 
 
 def side_counts(texts: list[np.ndarray], cls: np.ndarray, classes: int) -> np.ndarray:
@@ -166,11 +191,15 @@ class Attention:
         np.clip(s, -60, 60, out=s)  # in place of taking off each row's largest
         np.exp(s, out=s)
         s *= self.mask[first:]
-        s /= s.sum(2, keepdims=True)
+        s /= (s @ np.ones(WINDOW, s.dtype))[..., None]
         a = s @ v
         z = np.concatenate([e[:, first:], a @ p["o"]], 2)
-        h = np.maximum(z @ p["h"] + p["hb"], 0)
-        return h @ p["out"] + p["b"], (e, q, k, v, s, a, z, h)
+        h = z @ p["h"]
+        h += p["hb"]
+        np.maximum(h, 0, out=h)
+        d = h @ p["out"]
+        d += p["b"]
+        return d, (e, q, k, v, s, a, z, h)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
         """Mean loss and its gradient over positions of weight 1."""
@@ -187,14 +216,14 @@ class Attention:
         d, (e, q, k, v, s, a, z, h) = self.forward(x, first)
         np.clip(d, -60, 60, out=d)
         np.exp(d, out=d)
-        d /= (d @ np.ones(CLASSES, d.dtype))[..., None]
         n = weight.sum()
         row, col, own = *np.indices(y.shape, sparse=True), y
-        at = d[row, col, own]
-        d[row, col, own] -= 1
-        d *= (weight / n)[..., None].astype(d.dtype)
+        total, part = d @ np.ones(CLASSES, d.dtype), (weight / n).astype(d.dtype)
+        at = d[row, col, own] / total
+        d *= (part / total)[..., None]
+        d[row, col, own] -= part
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        g = {"out": flat(h).T @ flat(d), "b": flat(d).sum(0)}
+        g = {"out": flat(h).T @ flat(d), "b": np.ones(y.size, d.dtype) @ flat(d)}
         dh = flat(d) @ p["out"].T
         dh *= flat(h) > 0
         g["h"], g["hb"] = flat(z).T @ dh, dh.sum(0)
@@ -212,7 +241,7 @@ class Attention:
         de = dk @ p["k"].T + dv @ p["v"].T
         de[:, first:] += dz[..., :WIDTH] + dq @ p["q"].T * scale
         g["pos"] = de.sum(0)
-        order = np.argsort(x, axis=None, kind="stable")
+        order = np.argsort(narrow(x), axis=None, kind="stable")  # 16 bits are sorted by their digits
         ids = x.ravel()[order]
         starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         rows = np.add.reduceat(flat(de)[order], starts)
@@ -280,7 +309,7 @@ class Scorer:
             pick = np.random.default_rng(4).permutation(len(x))[:train_windows]
             self.net.train(x[pick], self.cls[y[pick]], (of[pick] >= 0).astype(np.float64))
 
-    def ids(self, ids: list[np.ndarray], batch: int = 384) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, ids: list[np.ndarray], batch: int = 192) -> tuple[np.ndarray, np.ndarray]:
         """For the ids laid end to end: log10 probability of each, and of any word start in its place."""
         x, y, of = windows(ids, len(self.cls))
         y = self.cls[y]
@@ -296,11 +325,12 @@ class Scorer:
                 np.clip(logits, -60, 60, out=logits)
                 at = np.take_along_axis(logits, y[r, first:, None], 2)[..., 0]
                 np.exp(logits, out=logits)
-                lse = np.log(logits.sum(2))
+                total, opening_mass = np.moveaxis(logits @ np.stack([np.ones_like(self.share), self.share], 1), 2, 0)
+                lse = np.log(total)
                 own = place[r, first:]
                 on = own >= 0
                 lp[own[on]] = (at - lse)[on]
-                start[own[on]] = (np.log(logits @ self.share) - lse)[on]
+                start[own[on]] = (np.log(opening_mass) - lse)[on]
         return lp / math.log(10) + self.within[every], start / math.log(10)
 
     def words(self, ids: list[np.ndarray]) -> np.ndarray:
@@ -328,10 +358,18 @@ def encoded(texts: DataFrame, tokenizer_path: str, end: int, rows: int = 16) ->
 
     def run(batches):
         for pdf in batches:
-            for lo in range(0, len(pdf), rows):
-                ids = text_ids([split_words(t) for t in pdf["t"].iloc[lo : lo + rows]], tokenizer_path)
-                n = sum(1 + max(0, -(-(len(i) - WINDOW) // (WINDOW - OVERLAP))) for i in ids)
-                yield pd.DataFrame({"r": [int(pdf[RID].iloc[lo])], "texts": [len(ids)], "windows": [n], "ids": [np.concatenate(ids).astype(id_type(end)).tobytes()]})
+            chars = np.append(0, np.cumsum(pdf["t"].str.len()))
+            lo = 0
+            while lo < len(pdf):
+                hi = lo + rows
+                while hi < len(pdf) and chars[min(hi + rows, len(pdf))] - chars[lo] <= 4_000_000:
+                    hi += rows
+                every = coded_ids(*distinct_words(pdf["t"].iloc[lo:hi].tolist()), tokenizer_path)
+                for k in range(0, len(every), rows):
+                    ids = every[k : k + rows]
+                    n = sum(1 + max(0, -(-(len(i) - WINDOW) // (WINDOW - OVERLAP))) for i in ids)
+                    yield pd.DataFrame({"r": [int(pdf[RID].iloc[lo + k])], "texts": [len(ids)], "windows": [n], "ids": [np.concatenate(ids).astype(id_type(end)).tobytes()]})
+                lo = hi
         trim()
 
     return materialise(with_rid(texts.select("t")).mapInPandas(run, "r long, texts long, windows long, ids binary"), "ids")
@@ -475,13 +513,10 @@ def score_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     def parse(pdf: pd.DataFrame):
         pdf = pdf.sort_values(RID)
-        split = [split_words(t) for t in pdf["text"]]
-        words = [word_keys(w) for w in split]
-        train = pdf["train"].to_numpy()
-        every = np.concatenate(words)
-        keys, inverse = np.unique(every, return_inverse=True)
-        learnt = np.repeat(train, [len(w) for w in words])
-        counts = np.bincount(inverse[learnt], minlength=len(keys))
+        words, codes, lens = distinct_words(pdf["text"].tolist())
+        keys, inverse = np.unique(word_keys(words), return_inverse=True)
+        learnt = np.repeat(pdf["train"].to_numpy(), lens)
+        counts = np.bincount(inverse[codes[learnt]], minlength=len(keys))
         at = cuts(keys, count)
         for b in range(count):
             if at[b] < at[b + 1]:
@@ -515,23 +550,23 @@ def score_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     def score(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(RID)
-        split = [split_words(t) for t in pdf["text"]]
-        words = [word_keys(w) for w in split]
-        lens = np.array([len(w) for w in words])
-        keys, inverse = np.unique(np.concatenate(words), return_inverse=True)
+        words, codes, lens = distinct_words(pdf["text"].tolist())
+        keys, inverse = np.unique(word_keys(words), return_inverse=True)
+        inverse = inverse[codes]
+        ids = coded_ids(words, codes, lens, tokenizer_path)
         counts = [a[0] for a in answers(got).get(0, [])]
         c = np.concatenate(counts).astype(np.int64) if counts else np.zeros(len(keys), np.int64)
-        row = np.repeat(np.arange(len(words)), lens)
+        row = np.repeat(np.arange(len(pdf)), lens)
         logs = np.log10((c + 0.5) / floor)
-        base = np.bincount(row, weights=logs[inverse], minlength=len(words)) + math.log10((n_train + 0.5) / floor)
-        known = np.bincount(row, weights=(c > 0)[inverse], minlength=len(words)).astype(np.int64) + (n_train > 0)
+        base = np.bincount(row, weights=logs[inverse], minlength=len(pdf)) + math.log10((n_train + 0.5) / floor)
+        known = np.bincount(row, weights=(c > 0)[inverse], minlength=len(pdf)).astype(np.int64) + (n_train > 0)
         scores, upto = [], np.cumsum([0, *lens])
         for lo in range(0, len(pdf), 64):
             hi = min(lo + 64, len(pdf))
             of_words = np.append(c[inverse[upto[lo] : upto[hi]]], 0)  # the last entry stands for an end
             place = np.insert(np.arange(upto[hi] - upto[lo]), upto[lo + 1 : hi + 1] - upto[lo], -1)
             share = np.where(place < 0, n_train, of_words[place]) / max(1, n)
-            per_word = mixed(scorer.words(text_ids(split[lo:hi], tokenizer_path)), share, word_share)
+            per_word = mixed(scorer.words(ids[lo:hi]), share, word_share)
             scores.append(np.add.reduceat(per_word, upto[lo:hi] - upto[lo] + np.arange(hi - lo)))
         return pd.DataFrame({RID: pdf[RID].to_numpy(), "id": pdf["id"].to_numpy(), "held_out": ~pdf["train"].to_numpy(), "n_tokens": lens + 1, "n_known": known, "base_score": base, "score": np.concatenate(scores)})
 

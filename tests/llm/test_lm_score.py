@@ -58,3 +58,16 @@ def test_counts_and_windows_are_those_of_all_texts(spark, tmp_path):
         assert set(changed) == set(np.unique(np.concatenate([t[:-1] for t in given]))) | {len(cls)}
     assert all((nets[0].p[k] == nets[1].p[k]).all() for k in nets[0].p)
     assert lm_score.train_corpus(lm_score.Attention(cls), rows, end, total) == 4 * total  # a small corpus is gone over four times
+
+
+def test_distinct_words_are_encoded_once_and_as_single_words():
+    texts = ["", " ", "\tA a\x0bB\x0c", "\x1cq\x1d é\x85É\xa0z ", "the cat, The cat\r\n", "", "İ ſ K", "the " * 50]
+    words, codes, lens = lm_score.distinct_words(texts)
+    split = [lm_score.split_words(t) for t in texts]
+    assert len(set(words)) == len(words) and lens.tolist() == [len(w) for w in split]
+    assert [words[c] for c in codes] == [w for s in split for w in s]
+    enc, end = lm_score._encoding(BPE), lm_score._state["end"]
+    want = [[i for w in s for i in enc._encode_single_piece(b" " + w)] + [end] for s in split]
+    for limit in (400_000, 0):
+        assert [x.tolist() for x in lm_score.coded_ids(words, codes, lens, BPE, limit)] == want
+    assert [x.tolist() for x in lm_score.text_ids(split, BPE)] == want
