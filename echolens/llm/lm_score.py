@@ -165,6 +165,22 @@ def make_classes(counts: np.ndarray, texts: list[np.ndarray] = (), classes: int
     return cls, np.log10(weight / total[cls])
 
 
+def _flat(t: np.ndarray) -> np.ndarray:
+    return t.reshape(-1, t.shape[-1])
+
+
+def adam(state: np.ndarray, g: np.ndarray, rate: float, step: int) -> None:
+    """One step of Adam on (values, first moments, second moments), in place."""
+    p, m, s = state
+    m *= np.float32(0.9)
+    m += np.float32(0.1) * g
+    s *= np.float32(0.99)
+    s += np.float32(0.01) * (g * g)
+    down = np.sqrt(s * np.float32(1 / (1 - 0.99**step)))
+    down += np.float32(1e-8)
+    p -= m * np.float32(rate / (1 - 0.9**step)) / down
+
+
 class Attention:
     """Predicts each position's class from the subword ids before it in the window. ``cls`` is the class of each
     id; one further id, ``len(cls)``, starts a text. An id's embedding is its class's plus its own, which
@@ -184,22 +200,29 @@ class Attention:
 
     def forward(self, x: np.ndarray, first: int = 0):
         """Logits (batch, WINDOW - first, CLASSES) of windows x (batch, WINDOW), and what the gradient needs."""
+        return self.layers(self.p["emb"][self.cls[x]] + self.p["own"][x] if self.table is None else self.table[x], first)
+
+    def layers(self, e: np.ndarray, first: int):
+        """As ``forward``, from the windows' embeddings, to which it adds the positions'."""
         p = self.p
-        e = (p["emb"][self.cls[x]] + p["own"][x] if self.table is None else self.table[x]) + p["pos"]
-        q, k, v = e[:, first:] @ (p["q"] / np.float32(math.sqrt(WIDTH))), e @ p["k"], e @ p["v"]
+        e += p["pos"]
+        top = np.ascontiguousarray(e[:, first:])
+        q, k, v = ((_flat(t) @ w).reshape(t.shape) for t, w in ((top, p["q"] / np.float32(math.sqrt(WIDTH))), (e, p["k"]), (e, p["v"])))  # a product each, not one a window
         s = q @ k.transpose(0, 2, 1)
         np.clip(s, -60, 60, out=s)  # in place of taking off each row's largest
         np.exp(s, out=s)
         s *= self.mask[first:]
-        s /= (s @ np.ones(WINDOW, s.dtype))[..., None]
+        r = 1 / (_flat(s) @ np.ones(WINDOW, s.dtype)).reshape(*top.shape[:2], 1)
         a = s @ v
-        z = np.concatenate([e[:, first:], a @ p["o"]], 2)
-        h = z @ p["h"]
+        a *= r  # WIDTH columns in place of WINDOW
+        z = np.concatenate([top, a], 2)
+        w = np.concatenate([p["h"][:WIDTH], p["o"] @ p["h"][WIDTH:]])  # one product from what was attended to into the hidden layer
+        h = _flat(z) @ w
         h += p["hb"]
         np.maximum(h, 0, out=h)
         d = h @ p["out"]
         d += p["b"]
-        return d, (e, q, k, v, s, a, z, h)
+        return d.reshape(len(e), -1, CLASSES), (e, top, q, k, v, s, r, a, z, w, h)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
         """Mean loss and its gradient over positions of weight 1."""
@@ -212,64 +235,80 @@ class Attention:
         """As ``gradient``, but own embeddings' as the ids that occur and a row for each of them."""
         p = self.p
         first = 0 if weight[:, :OVERLAP].any() else OVERLAP  # what is only context is not predicted
-        y, weight = y[:, first:], weight[:, first:]
-        d, (e, q, k, v, s, a, z, h) = self.forward(x, first)
+        y, weight = y[:, first:].ravel(), weight[:, first:].ravel()
+        order = np.argsort(narrow(x), axis=None, kind="stable")  # 16 bits are sorted by their digits
+        ids = x.ravel()[order]
+        change = np.append(True, ids[1:] != ids[:-1])
+        starts = np.flatnonzero(change)
+        ids = ids[starts]
+        cls = self.cls[ids]
+        place = np.empty(x.shape, np.int64)
+        place.ravel()[order] = np.cumsum(change) - 1
+        d, (e, top, q, k, v, s, r, a, z, w, h) = self.layers((p["emb"][cls] + p["own"][ids])[place], first)  # each id is looked up once
+        d = _flat(d)
         np.clip(d, -60, 60, out=d)
         np.exp(d, out=d)
         n = weight.sum()
-        row, col, own = *np.indices(y.shape, sparse=True), y
+        ones = np.ones(len(d), d.dtype)
         total, part = d @ np.ones(CLASSES, d.dtype), (weight / n).astype(d.dtype)
-        at = d[row, col, own] / total
-        d *= (part / total)[..., None]
-        d[row, col, own] -= part
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        g = {"out": flat(h).T @ flat(d), "b": np.ones(y.size, d.dtype) @ flat(d)}
-        dh = flat(d) @ p["out"].T
-        dh *= flat(h) > 0
-        g["h"], g["hb"] = flat(z).T @ dh, dh.sum(0)
-        dz = (dh @ p["h"].T).reshape(z.shape)
-        do = dz[..., WIDTH:]
-        g["o"] = flat(a).T @ flat(do)
-        da = do @ p["o"].T
+        own = np.arange(0, d.size, CLASSES) + y
+        at = d.ravel()[own] / total
+        d *= (part / total)[:, None]
+        d.ravel()[own] -= part
+        g = {"out": h.T @ d, "b": ones @ d}
+        dh = d @ p["out"].T
+        dh *= h > 0
+        dw = _flat(z).T @ dh
+        g["h"], g["hb"] = np.concatenate([dw[:WIDTH], p["o"].T @ dw[WIDTH:]]), ones @ dh
+        g["o"] = dw[WIDTH:] @ p["h"][WIDTH:].T
+        dz = (dh @ w.T).reshape(z.shape)
+        da = dz[..., WIDTH:] * r
         ds = da @ v.transpose(0, 2, 1)
         dv = s.transpose(0, 2, 1) @ da
-        ds -= np.einsum("bij,bij->bi", ds, s)[..., None]
+        ds -= (_flat(da * a) @ np.ones(WIDTH, a.dtype)).reshape(r.shape)  # the mean of ds by shares, from fewer columns
         ds *= s
         scale = np.float32(1 / math.sqrt(WIDTH))
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["q"], g["k"], g["v"] = flat(e[:, first:]).T @ flat(dq) * scale, flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-        de = dk @ p["k"].T + dv @ p["v"].T
-        de[:, first:] += dz[..., :WIDTH] + dq @ p["q"].T * scale
-        g["pos"] = de.sum(0)
-        order = np.argsort(narrow(x), axis=None, kind="stable")  # 16 bits are sorted by their digits
-        ids = x.ravel()[order]
-        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        rows = np.add.reduceat(flat(de)[order], starts)
+        g["q"], g["k"], g["v"] = _flat(top).T @ _flat(dq) * scale, _flat(e).T @ _flat(dk), _flat(e).T @ _flat(dv)
+        de = _flat(dk) @ p["k"].T
+        de += _flat(dv) @ p["v"].T
+        late = de.reshape(e.shape)[:, first:]
+        late += dz[..., :WIDTH]
+        late += (_flat(dq) @ (p["q"].T * scale)).reshape(top.shape)
+        g["pos"] = (np.ones(len(e), de.dtype) @ de.reshape(len(e), -1)).reshape(WINDOW, WIDTH)
+        rows = np.add.reduceat(de[order], starts)
+        order = np.argsort(narrow(cls), kind="stable")
+        cls = cls[order]
+        starts = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
         g["emb"] = np.zeros_like(p["emb"])
-        np.add.at(g["emb"], self.cls[ids[starts]], rows)
-        return float(-(np.log(at + 1e-12) * weight).sum() / n), g, ids[starts], rows
+        g["emb"][cls[starts]] = np.add.reduceat(rows[order], starts)
+        return float(-(np.log(at + 1e-12) * weight).sum() / n), g, ids, rows
 
     def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 2, batch: int = 64, rate: float = 0.01, seed: int = 2, span: tuple[float, float] = (0.0, 1.0)) -> float:
-        """``span`` is the part of the whole training, from 0 to 1, that these windows are."""
+        """``span`` is the part of the whole training, from 0 to 1, that these windows are. All parameters but own
+        embeddings lie end to end while it runs, so that a step is a few operations for all of them."""
         rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
+        names = [k for k in self.p if k != "own"]
+        dense = np.stack([np.concatenate([self.p[k].ravel() for k in names])] + 2 * [np.zeros(sum(self.p[k].size for k in names), np.float32)])  # values, first and second moments
+        own = np.stack([self.p["own"], *2 * [np.zeros_like(self.p["own"])]])
+        ends = np.cumsum([self.p[k].size for k in names])
+        self.p |= {k: part.reshape(self.p[k].shape) for k, part in zip(names, np.split(dense[0], ends[:-1]), strict=True)} | {"own": own[0]}
         opens = weight[:, :OVERLAP].any(1)
         parts = [np.flatnonzero(opens), np.flatnonzero(~opens)]
         step, loss, steps = 0, 0.0, max(1, epochs * sum(-(-len(i) // batch) for i in parts))
         for _ in range(epochs):
             batches = [i[lo : lo + batch] for i in map(rng.permutation, parts) for lo in range(0, len(i), batch)]
             for i in map(batches.__getitem__, rng.permutation(len(batches))):
-                if not weight[i].sum():
+                if not weight[i].any():
                     continue
                 loss, g, ids, rows = self.sparse_gradient(x[i], y[i], weight[i])
                 step += 1
                 lr = rate * (1 - 0.95 * (span[0] + (span[1] - span[0]) * step / steps))
-                for k, at, v in (*((k, slice(None), v) for k, v in g.items()), ("own", ids, rows)):  # ids that a batch lacks rest
-                    first = 0.9 * m[k][at] + 0.1 * v
-                    second = 0.99 * s[k][at] + 0.01 * v * v
-                    m[k][at], s[k][at] = first, second
-                    self.p[k][at] -= (lr * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                adam(dense, np.concatenate([g[k].ravel() for k in names]), lr, step)
+                some = own[:, ids]  # ids that a batch lacks rest
+                adam(some, rows, lr, step)
+                own[:, ids] = some
+        self.p = {k: v.copy() for k, v in self.p.items()}
         self.finish()
         return loss
 
@@ -309,7 +348,7 @@ class Scorer:
             pick = np.random.default_rng(4).permutation(len(x))[:train_windows]
             self.net.train(x[pick], self.cls[y[pick]], (of[pick] >= 0).astype(np.float64))
 
-    def ids(self, ids: list[np.ndarray], batch: int = 192) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, ids: list[np.ndarray], batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """For the ids laid end to end: log10 probability of each, and of any word start in its place."""
         x, y, of = windows(ids, len(self.cls))
         y = self.cls[y]
@@ -318,19 +357,19 @@ class Scorer:
         place[of >= 0] = np.arange(len(every))  # windows score the ids in their order
         lp, start = np.empty(len(every)), np.empty(len(every))
         opening = np.flatnonzero((of[:, 0] >= 0) & (x[:, 0] == len(self.cls)))
+        both = np.stack([np.ones_like(self.share), self.share], 1)
         for rows, first in ((opening, 0), (np.setdiff1d(np.arange(len(x)), opening, assume_unique=True), OVERLAP)):
             for lo in range(0, len(rows), batch):
                 r = rows[lo : lo + batch]
-                logits, _ = self.net.forward(x[r], first)
+                logits = _flat(self.net.forward(x[r], first)[0])
                 np.clip(logits, -60, 60, out=logits)
-                at = np.take_along_axis(logits, y[r, first:, None], 2)[..., 0]
+                own, target = place[r, first:].ravel(), y[r, first:].ravel()
+                on = np.flatnonzero(own >= 0)
+                at = logits.ravel()[on * CLASSES + target[on]]
                 np.exp(logits, out=logits)
-                total, opening_mass = np.moveaxis(logits @ np.stack([np.ones_like(self.share), self.share], 1), 2, 0)
-                lse = np.log(total)
-                own = place[r, first:]
-                on = own >= 0
-                lp[own[on]] = (at - lse)[on]
-                start[own[on]] = (np.log(opening_mass) - lse)[on]
+                total, opening_mass = np.log(logits @ both)[on].T
+                lp[own[on]] = at - total
+                start[own[on]] = opening_mass - total
         return lp / math.log(10) + self.within[every], start / math.log(10)
 
     def words(self, ids: list[np.ndarray]) -> np.ndarray:

@@ -71,3 +71,39 @@ def test_distinct_words_are_encoded_once_and_as_single_words():
     for limit in (400_000, 0):
         assert [x.tolist() for x in lm_score.coded_ids(words, codes, lens, BPE, limit)] == want
     assert [x.tolist() for x in lm_score.text_ids(split, BPE)] == want
+
+
+def test_a_step_looks_up_each_id_once():
+    class Seen(np.ndarray):
+        def __getitem__(self, at):
+            if self is own:
+                looked_up.append(np.size(at))
+            return np.asarray(super().__getitem__(at))
+
+    r, looked_up = np.random.default_rng(3), []
+    net = lm_score.Attention(np.arange(500) % lm_score.CLASSES)
+    x, weight = r.integers(0, 40, (64, lm_score.WINDOW)), np.ones((64, lm_score.WINDOW))
+    own = net.p["own"] = net.p["own"].view(Seen)
+    _, _, ids, _ = net.sparse_gradient(x, net.cls[r.integers(0, 500, x.shape)], weight)
+    assert ids.tolist() == np.unique(x).tolist() and sum(looked_up) == len(ids)
+
+
+def test_a_step_is_adam_and_ids_that_a_batch_lacks_rest():
+    r = np.random.default_rng(4)
+    net = lm_score.Attention(np.arange(500) % lm_score.CLASSES)
+    x, weight = r.integers(0, 40, (60, lm_score.WINDOW)), np.ones((60, lm_score.WINDOW))
+    y = net.cls[r.integers(0, 500, x.shape)]
+    before = {k: v.copy() for k, v in net.p.items()}
+    _, g = net.gradient(x, y, weight)
+    net.train(x, y, weight, epochs=1)  # one step, of rate 0.05 * 0.01
+    for k, v in before.items():
+        on = np.abs(g[k]) > 1e-5  # the sign of a gradient of nearly nothing is open
+        assert net.p[k][on] == pytest.approx((v - 0.0005 * np.sign(g[k]))[on], abs=2e-6)
+    assert on.any() and (net.p["own"][40:] == before["own"][40:]).all()
+    state, p, m, s = np.zeros((3, 7), np.float32), 0.0, 0.0, 0.0
+    for step in (1, 2, 3):
+        grad = r.standard_normal(7)
+        lm_score.adam(state, grad.astype(np.float32), 0.01, step)
+        m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad**2
+        p = p - 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+    assert state[0] == pytest.approx(p, abs=1e-6)
